@@ -108,8 +108,10 @@ def literature_score(df: DataFrame, digits: int | None = None) -> DataFrame:
     return ranked.drop("_raw")
 
 
-def literature_layer(symbol_map: DataFrame, counts: DataFrame, ids: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Score each distinct symbol once, then join back to every id that carries it.
+def literature_layer(
+    symbol_map: DataFrame, counts: DataFrame, ids: DataFrame, done: DataFrame | None = None, digits: int | None = None
+) -> DataFrame:
+    """Score each distinct symbol of the requested ids once, then join back to every id that carries it.
 
     ``done`` holds counts of an earlier partial run; they are kept, and only the other symbols are taken from
     ``counts``.
@@ -119,7 +121,7 @@ def literature_layer(symbol_map: DataFrame, counts: DataFrame, ids: DataFrame, d
     if done is not None:
         fresh = keep_listed(counts, resume_remaining(symbols, done, "gene_symbol"), "gene_symbol")
         counts = done.select(*counts.columns).unionByName(fresh)
-    scored = literature_score(literature_tier(keep_listed(counts, symbols, "gene_symbol")))
+    scored = literature_score(literature_tier(keep_listed(counts, symbols, "gene_symbol")), digits)
     return attach(wanted, scored, "gene_symbol")
 
 

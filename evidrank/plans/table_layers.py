@@ -12,6 +12,7 @@ from evidrank.operators import expression as X
 from evidrank.operators import localization as L
 from evidrank.operators import orthology as O
 from evidrank.plans.registry import percentile_sql, query, r6, table
+from evidrank.sources.stages import cut
 
 # ---------------------------------------------------------------------------------------------------------------------
 # constraint: parts, with line-item coverage
@@ -219,7 +220,7 @@ def accession_scores(spark, sf):
         round(quantile_cont(annotation_score_normalized, 0.5), 6) AS median_annotation_score FROM annotated""",
 )
 def annotation_summary(spark, sf):
-    row = A.annotation_summary(annotated_customers(spark, sf))
+    row = A.annotation_summary(cut(annotated_customers(spark, sf)))
     return row.withColumns({c: r6(c) for c in ("mean_annotation_score", "median_annotation_score")})
 
 
@@ -372,7 +373,7 @@ def threshold_enriched(spark, sf):
         round(quantile_cont(expression_score_normalized, 0.5), 6) AS median_score FROM expressed""",
 )
 def expression_summary(spark, sf):
-    row = X.expression_summary(expression_entities(spark, sf), TARGET, ["error"])
+    row = X.expression_summary(cut(expression_entities(spark, sf)), TARGET, ["error"])
     return row.withColumns({c: r6(c) for c in ("mean_tau", "min_score", "max_score", "mean_score", "median_score")})
 
 
