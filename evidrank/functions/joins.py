@@ -39,3 +39,13 @@ def attach(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFr
 def keep_listed(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Membership filter against an id table (a semi join, so the list never passes through the driver)."""
     return df.join(ids.select(on), on, "left_semi")
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has slots, before heavy per-row work.
+
+    One gzip file, or one Parquet row group, is one task however large the cluster is. A scan with enough partitions is
+    left as it is, so tables of many files never pay for the shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)

@@ -119,7 +119,8 @@ def attach_table(df: DataFrame, table: DataFrame, value: str, bounds: Bounds, by
     return rows.join(side, [*by, "_key", "_salt"], "left").drop("_key", "_salt")
 
 
-AVERAGE_RANK = F.col("n_upto") - (F.col("n_ties") - 1) / F.lit(2.0)
+def average_rank() -> Column:
+    return F.col("n_upto") - (F.col("n_ties") - 1) / F.lit(2.0)
 
 
 def with_percentile(df: DataFrame, columns: Mapping[str, str], over: str = "count") -> DataFrame:
@@ -130,7 +131,7 @@ def with_percentile(df: DataFrame, columns: Mapping[str, str], over: str = "coun
     """
     bounds = measure_bounds(df, columns)
     for out, value in columns.items():
-        table = value_table(df, value, bounds[out]).select(value, AVERAGE_RANK.alias("_avg"), "n_total")
+        table = value_table(df, value, bounds[out]).select(value, average_rank().alias("_avg"), "n_total")
         if over == "max":
             top = table.agg(F.max("_avg").alias("_top")).scalar()
             table = table.select(value, (F.col("_avg") / top).alias(out))

@@ -81,9 +81,18 @@ def best_per_symbol(
     return df.withColumn("_n", F.row_number().over(first)).where(F.col("_n") == 1).drop("_n")
 
 
+def composite_sql(weights: Mapping[str, float]) -> str:
+    """Weighted mean over the known layers, as SQL text; NULL when their weight adds up to zero.
+
+    Text, because a sweep needs dozens of these and one parse is far cheaper than hundreds of calls into the JVM.
+    """
+    top = " + ".join(f"coalesce(`{n}_score` * {float(w)!r}D, 0D)" for n, w in weights.items())
+    bottom = " + ".join(f"if(`{n}_score` is null, 0D, {float(w)!r}D)" for n, w in weights.items())
+    return f"try_divide({top}, nullif({bottom}, 0D))"
+
+
 def composite_of(weights: Mapping[str, float]) -> Column:
-    """Weighted mean over the known layers; NULL when their weight adds up to zero."""
-    return F.try_divide(weighted_sum(weights), F.nullif(available_weight(weights), F.lit(0.0)))
+    return F.expr(composite_sql(weights))
 
 
 def available_weight(weights: Mapping[str, float]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidrank.functions.ranks import quantiles
-from evidrank.functions.rows import ladder
+from evidrank.functions.rows import ladder, lookup
 from evidrank.operators.report import top_per_group
 
 # Check limits, and the factor that makes a MAD comparable to a standard deviation.
@@ -55,18 +55,24 @@ def distribution_stats(df: DataFrame, layers: Sequence[str]) -> DataFrame:
     return out.select("layer", "mean", "median", "std", "min", "max", "count", "severity")
 
 
-def deviation_limits(rows: DataFrame) -> DataFrame:
-    """Median and normal-scaled MAD of ``score`` per ``layer``: one row per layer, whatever the table size."""
-    medians = quantiles(rows, "score", {"median": 0.5}, by=["layer"])
-    gaps = rows.join(F.broadcast(medians), "layer").withColumn("_gap", F.abs(F.col("score") - F.col("median")))
+def deviation_limits(rows: DataFrame, layers: Sequence[str]) -> DataFrame:
+    """Median and normal-scaled MAD of ``score`` per ``layer``: one row per layer, whatever the table size.
+
+    The medians come back as one number per layer and enter the second pass as a map literal, so the first pass is not
+    planned and run again inside it.
+    """
+    medians = quantiles(rows, "score", {"median": 0.5}, by=["layer"]).collect()  # at most one row per layer
+    center = {r["layer"]: r["median"] for r in medians}
+    mid = lookup("layer", {n: center.get(n, float("nan")) for n in layers})
+    gaps = rows.select("layer", F.abs(F.col("score") - mid).alias("_gap"))
     mads = quantiles(gaps, "_gap", {"_mad": 0.5}, by=["layer"])
-    return medians.join(mads, "layer").select("layer", "median", (F.col("_mad") * NORMAL_MAD).alias("mad"))
+    return mads.select("layer", mid.alias("median"), (F.col("_mad") * NORMAL_MAD).alias("mad"))
 
 
 def outlier_rows(df: DataFrame, layers: Sequence[str], entity: str = "gene_symbol") -> DataFrame:
     """Every (layer, entity, score) further than three MADs from the layer's median; none where the MAD is zero."""
     rows = long_scores(df, layers, [entity]).where(F.col("score").isNotNull())
-    limits = deviation_limits(rows)
+    limits = deviation_limits(rows, layers)
     far = F.abs(F.col("score") - F.col("median")) > OUTLIER_MADS * F.col("mad")
     # one row per layer on the broadcast side
     return rows.join(F.broadcast(limits), "layer").where((F.col("mad") > 1e-8) & far).select("layer", entity, "score")

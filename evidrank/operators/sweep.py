@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrank.functions.rows import ladder
-from evidrank.operators.composite import check_weights, composite_of
+from evidrank.operators.composite import check_weights, composite_sql
 
 # Default perturbations, list length, stability limit and smallest overlap for a correlation.
 DEFAULT_DELTAS = (-0.10, -0.05, 0.05, 0.10)
@@ -72,25 +72,18 @@ def best_by_scenario(
     map-side so a hot symbol sends one row per task, and only its results are expanded to
     ``scenario, symbol, entity, composite``. Rows without a symbol are never collapsed.
     """
-    last = F.lit(float("inf"))
 
-    def order(weights: Mapping[str, float]):
-        score = composite_of(weights)
-        score = score if digits is None else F.round(score, digits)
-        return F.struct(
-            (-F.col("evidence_count")).alias("fewer"), F.coalesce(-score, last).alias("lower"), F.col(entity).alias("id")
-        )
+    def kept(weights: Mapping[str, float]) -> str:
+        score = composite_sql(weights)
+        score = score if digits is None else f"round({score}, {digits})"
+        lower = f"coalesce(-({score}), double('Infinity'))"
+        return f"min(struct(-evidence_count as fewer, {lower} as lower, `{entity}` as id))"
 
     alone = F.when(F.col(symbol).isNull(), F.col(entity)).alias("_alone")
-    best = joined.groupBy(symbol, alone).agg(*[F.min(order(w)).alias(f"_s{i}") for i, w in enumerate(plans)])
-    expanded = F.array(
-        *[
-            F.struct(F.lit(i).alias("scenario"), F.col(f"_s{i}.id").alias(entity), (-F.col(f"_s{i}.lower")).alias("composite"))
-            for i in range(len(plans))
-        ]
-    )
-    rows = best.select(symbol, F.inline(expanded))
-    return rows.where(F.col("composite") != -last)
+    best = joined.groupBy(symbol, alone).agg(*[F.expr(f"{kept(w)} as _s{i}") for i, w in enumerate(plans)])
+    entries = [f"struct({i} as scenario, _s{i}.id as `{entity}`, -_s{i}.lower as composite)" for i in range(len(plans))]
+    rows = best.select(symbol, F.expr(f"inline(array({', '.join(entries)}))"))
+    return rows.where("composite > double('-Infinity')")
 
 
 def sensitivity_sweep(

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidrank.functions.joins import widen
 from evidrank.functions.ranks import with_percent_rank, with_row_number
 from evidrank.functions.rows import known_count, mentions_any
 from evidrank.operators import composite as J
@@ -70,6 +71,7 @@ tiered AS (
 
 def document_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, tuple[DataFrame, str]]]:
     docs = table(spark, sf, "documents")
+    english = widen(docs.where(F.col("lang") == "en").select("doc_id", "text"))
     doc_id = F.col("doc_id").alias("gene_id")
     universe = docs.select(doc_id, F.md5("text").alias("gene_symbol"))
     labels = table(spark, sf, "labels")
@@ -82,7 +84,7 @@ def document_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str,
         "safety": labels.where(F.col("quality") == 1).select(
             doc_id, (F.lit(0.9) - F.lit(0.8) * F.col("toxic")).alias("score")
         ),
-        "topic": docs.where(F.col("lang") == "en").select(doc_id, (sum(flags, F.lit(0)) / F.lit(4.0)).alias("score")),
+        "topic": english.select(doc_id, (sum(flags, F.lit(0)) / F.lit(4.0)).alias("score")),
         "talk": table(spark, sf, "conversations")
         .groupBy(F.col("conv_id").alias("gene_id"))
         .agg(F.least(F.lit(1.0), F.count(F.lit(1)) / F.lit(10.0)).alias("score")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidrank.functions.joins import widen
 from evidrank.operators import literature as T
 from evidrank.operators import protein as P
 from evidrank.plans.registry import average_rank_sql, percentile_sql, query, r6, table
@@ -61,8 +62,12 @@ raws AS (
 texts AS (SELECT *, {percentile_sql("raw")} AS literature_score_normalized FROM raws)"""
 
 
+def text_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return widen(table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
 def entity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("entity", F.concat_ws("/", "source", "lang"))
+    docs = text_documents(spark, sf).withColumn("entity", F.concat_ws("/", "source", "lang"))
     return T.context_counts(docs, "entity", CONTEXTS, DIRECT, SCREEN)
 
 
@@ -70,7 +75,7 @@ def symbol_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of the benchmark items is an entity symbol; documents mention it or not."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9_-]+")))
     symbols = table(spark, sf, "benchmark").select(words.alias("gene_symbol")).where(F.col("gene_symbol") != "").distinct()
-    return T.mention_counts(table(spark, sf, "documents"), symbols, CONTEXTS, DIRECT, SCREEN)
+    return T.mention_counts(text_documents(spark, sf), symbols, CONTEXTS, DIRECT, SCREEN)
 
 
 @query("context_counts", f"WITH {COUNTS_SQL} SELECT * FROM counts")
@@ -188,7 +193,7 @@ proteins AS (
 def protein_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     words = F.split("text", " ")
     starting = lambda p: F.size(F.filter(words, lambda w: w.startswith(p))).cast("long")
-    features = table(spark, sf, "documents").select(
+    features = text_documents(spark, sf).select(
         F.col("doc_id").alias("uniprot_id"),
         F.when(F.col("lang") != "de", F.col("n_chars")).alias("protein_length"),
         F.array_distinct(F.split(F.split("text", "\n")[0], " ")).alias("domain_names"),
@@ -319,7 +324,7 @@ def json_counts(spark, sf):
 def annotation_records(spark, sf):
     """One hit per document: term lists may be absent, an object or a list; the pathway may be absent or empty."""
     pathway = F.when(F.col("lang") == "en", '{"kegg":[{"id":"a"}]}').when(F.col("lang") == "de", '{"kegg":[],"reactome":[]}')
-    hits = table(spark, sf, "documents").select(
+    hits = text_documents(spark, sf).select(
         _object(
             query=_quoted(F.col("doc_id").cast("string")),
             symbol=_quoted(F.col("source")),
@@ -342,6 +347,7 @@ def annotation_records(spark, sf):
 def feature_records(spark, sf):
     """One record per document that is not French; the French ids are requested too and come back empty."""
     docs = table(spark, sf, "documents")
+    spread = text_documents(spark, sf).where(F.col("lang") != "fr")
     kind = lambda w: (
         F.when(w.startswith("wi"), "Domain").when(w.startswith("co"), "Coiled coil").when(w.startswith("er"), "Transmembrane")
     )
@@ -354,7 +360,7 @@ def feature_records(spark, sf):
         )
     )
     requested = docs.select(F.col("doc_id").cast("string").alias("uniprot_id"))
-    counts = R.feature_counts(docs.where(F.col("lang") != "fr").select(record.alias("record")), "record", requested)
+    counts = R.feature_counts(spread.select(record.alias("record")), "record", requested)
     return counts.withColumn("domain_names", F.array_join("domain_names", "|"))
 
 
@@ -392,7 +398,7 @@ def phenotype_records(spark, sf):
         (F.col("n_chars") / F.lit(1e6)).alias("p_value"),
     )
     body = F.to_json(F.struct(F.struct(F.transform(F.split("text", " "), doc).alias("docs")).alias("response")))
-    rows = R.phenotype_documents(table(spark, sf, "documents").select(body.alias("body")), "body")
+    rows = R.phenotype_documents(text_documents(spark, sf).select(body.alias("body")), "body")
     return rows.groupBy("mouse_gene").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("p_value")).alias("p_sum"))
 
 
