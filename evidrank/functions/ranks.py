@@ -50,16 +50,19 @@ class Bounds:
         whole = F.size(F.filter(tops, lambda e: e < value))
         rest = F.coalesce(F.size(F.filter(F.get(inner, whole), lambda e: e < value)), F.lit(0))
         rest = F.when(whole < len(groups), rest).otherwise(0)
-        return (whole * step + rest).cast("int")
+        return F.least(whole * step + rest, F.lit(len(self.edges))).cast("int")
 
     def is_hot(self, value: Column) -> Column:
         return value.isin(*self.hot) if self.hot else F.lit(False)
 
 
 def measure_bounds(df: DataFrame, values: Mapping[str, Column | str]) -> dict[str, Bounds]:
-    """Quantile bounds for several value columns in one pass (a mergeable sketch; at most k numbers each return)."""
-    k = min(MAX_BUCKETS, spread_width(df))
-    probabilities = [i / k for i in range(1, k)] or [0.5]
+    """Quantile bounds for several value columns in one pass (a mergeable sketch; at most k numbers each return).
+
+    Two marks per shuffle partition: a value that fills a whole partition's share meets two marks and counts as hot.
+    """
+    k = min(MAX_BUCKETS, max(64, 2 * spread_width(df)))
+    probabilities = [i / k for i in range(1, k)]
     sketches = [
         F.percentile_approx(as_col(v).cast("double"), probabilities, max(10_000, 10 * k)).alias(name)
         for name, v in values.items()
