@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALT = "__salt"
+BROADCAST_ROWS = 200_000
 
 
 def row_salt(df: DataFrame, width: int) -> Column:
@@ -20,6 +21,11 @@ def spread_width(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def salt_width(df: DataFrame) -> int:
+    """Several salts per shuffle partition, so that hashing spreads them evenly."""
+    return 4 * spread_width(df)
+
+
 def attach(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Left join onto a reference table, with NULL keys spread over the cluster.
 
@@ -31,7 +37,7 @@ def attach(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFr
     missing = F.col(keys[0]).isNull()
     for key in keys[1:]:
         missing = missing | F.col(key).isNull()
-    salted = left.withColumn(_SALT, F.when(missing, row_salt(left, spread_width(left)) + 1).otherwise(0))
+    salted = left.withColumn(_SALT, F.when(missing, row_salt(left, salt_width(left)) + 1).otherwise(0))
     target = right.withColumn(_SALT, F.lit(0))
     return salted.join(target, [*keys, _SALT], "left").drop(_SALT)
 
@@ -41,6 +47,11 @@ def keep_listed(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids.select(on), on, "left_semi")
 
 
+def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a narrow table has at most ``limit`` rows; stops reading one row past the limit."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than the cluster has slots, before heavy per-row work.
 

@@ -20,7 +20,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidrank.functions.joins import row_salt, spread_width
+from evidrank.functions.joins import row_salt, salt_width, spread_width
 from evidrank.functions.rows import as_col
 from evidrank.sources.stages import cut
 
@@ -109,7 +109,7 @@ def value_table(df: DataFrame, value: str, bounds: Bounds | None = None, by: Seq
 def attach_table(df: DataFrame, table: DataFrame, value: str, bounds: Bounds, by: Sequence[str] = ()) -> DataFrame:
     """Left join a ``value_table`` back onto rows; hot values and NULLs are salted over all tasks."""
     by = list(by)
-    width = spread_width(df)
+    width = salt_width(df)
     v = F.col(value).cast("double")
     scatter = v.isNull() | bounds.is_hot(v)
     rows = df.withColumn("_key", v).withColumn("_salt", F.when(scatter, row_salt(df, width)).otherwise(0))

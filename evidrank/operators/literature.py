@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidrank.functions.joins import attach, keep_listed
+from evidrank.functions.joins import attach, keep_listed, within_rows
 from evidrank.functions.ranks import with_percentile
 from evidrank.functions.rows import filled_sum, ladder, lookup, mentions_any
 from evidrank.sources.stages import resume_remaining
@@ -67,12 +67,17 @@ def mention_counts(
 
     Distinct words of each document are counted per word first, map-side, and only the per-word totals meet the entity
     table. A word found in a third of all documents therefore costs one row per task, and the join has unique keys.
+    When the symbols pass a row count check they are also broadcast to drop all other words before that count, so
+    the vocabulary of the texts is never shuffled.
     """
     flagged = document_flags(docs, contexts, direct, screen, text)
     flags = [*[f"{n}_context" for n in contexts], "direct_experimental", "hts_screen"]
     words = F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9_-]+"))
-    per_word = flagged.select(F.explode(words).alias("_word"), *flags).groupBy("_word").agg(*_counts(flags))
     listed = entities.select(symbol).distinct().withColumn("_word", F.lower(symbol))
+    found = flagged.select(F.explode(words).alias("_word"), *flags)
+    if within_rows(listed):
+        found = found.join(F.broadcast(listed.select("_word")), "_word", "left_semi")
+    per_word = found.groupBy("_word").agg(*_counts(flags))
     joined = attach(listed, per_word, "_word").drop("_word")
     return joined.na.fill(0, [c for c in joined.columns if c.endswith("_count")])
 

@@ -15,9 +15,18 @@ from evidrank.functions.joins import attach
 from evidrank.functions.rows import known_sum
 
 
-def parse_records(df: DataFrame, json_column: str, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Expand a JSON text column into the declared top-level columns."""
-    return df.select(*keep, F.from_json(F.col(json_column), schema).alias("_r")).select(*keep, "_r.*")
+def parse_records(
+    df: DataFrame, json_column: str, schema: str, keep: tuple[str, ...] = (), required: str | None = None
+) -> DataFrame:
+    """Expand a JSON text column into the declared top-level columns.
+
+    ``required`` drops the records without that text field. The test sits inside the generator: as a plain filter it
+    would be pushed below and parse every record a second time.
+    """
+    record = F.from_json(F.col(json_column), schema)
+    if required is not None:
+        record = F.explode(F.filter(F.array(record), lambda r: r[required] != ""))
+    return df.select(*keep, record.alias("_r")).select(*keep, "_r.*")
 
 
 def as_list(text: Column, element: str) -> Column:
@@ -90,11 +99,12 @@ def feature_counts(records: DataFrame, json_column: str, requested: DataFrame |
         json_column,
         "primaryAccession string, sequence struct<length: bigint>, "
         "features array<struct<type: string, description: string>>",
+        required="primaryAccession",
     )
     features = F.coalesce(F.col("features"), F.array().cast("array<struct<type: string, description: string>>"))
     of_type = lambda t: F.filter(features, lambda f: f["type"] == t)
     named = F.filter(of_type("Domain"), lambda f: f["description"] != "")
-    out = parsed.where(F.col("primaryAccession") != "").select(
+    out = parsed.select(
         F.col("primaryAccession").alias("uniprot_id"),
         F.col("sequence.length").alias("protein_length"),
         F.transform(named, lambda f: f["description"]).alias("domain_names"),
