@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from evidrank.functions.joins import row_salt, salt_width, spread_width
 from evidrank.functions.rows import as_col
-from evidrank.sources.stages import cut
+from evidrank.sources.stages import cut, settle
 
 MAX_BUCKETS = 10_000
 
@@ -130,8 +130,10 @@ def with_percentile(df: DataFrame, columns: Mapping[str, str], over: str = "coun
     """Average-rank percentile of each value column, NULL where the value is NULL.
 
     ``columns`` maps output name to value column. ``over="count"`` divides by the number of known values,
-    ``over="max"`` by the largest average rank (so the top value always gets 1).
+    ``over="max"`` by the largest average rank (so the top value always gets 1). The rows are read once per column and
+    once for the bounds, so an input behind a shuffle is settled first.
     """
+    df = settle(df)
     bounds = measure_bounds(df, columns)
     for out, value in columns.items():
         table = value_table(df, value, bounds[out]).select(value, average_rank().alias("_avg"), "n_total")
@@ -153,6 +155,7 @@ def percent_rank_table(df: DataFrame, value: str, bounds: Bounds, out: str = "pe
 
 def with_percent_rank(df: DataFrame, value: str, out: str = "percentile_rank") -> DataFrame:
     """``PERCENT_RANK`` over the known values, NULL where the value is NULL."""
+    df = settle(df)
     bounds = measure_bounds(df, {"v": value})["v"]
     return attach_table(df, percent_rank_table(df, value, bounds, out), value, bounds)
 
@@ -162,7 +165,7 @@ def quantiles(df: DataFrame, value: str, probabilities: Mapping[str, float], by:
 
     Only the distinct values on both sides of each wanted position survive the filter inside the aggregate.
     """
-    table = value_table(df, value, by=by)
+    table = value_table(settle(df.select(*by, value)), value, by=by)
     start = F.col("n_upto") - F.col("n_ties")
     n = F.col("n_total")
     aggs = []
@@ -187,7 +190,8 @@ def with_row_number(df: DataFrame, order: Sequence[Column], out: str = "position
     with their partition and in-partition index. Later reads see the written numbers, so nothing can shift.
     """
     sorted_rows = (
-        df.repartitionByRange(*order)
+        settle(df)
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_mono"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidrank.functions.ranks import attach_table, measure_bounds, percent_rank_table, quantiles, with_row_number
 from evidrank.functions.rows import ladder
-from evidrank.sources.stages import cut
+from evidrank.sources.stages import cut, settle
 
 # Validation thresholds, reported list length, recall cut-offs.
 POSITIVE_MEDIAN, NEGATIVE_MEDIAN, TOP_QUARTILE, HIGH_SCORE = 0.75, 0.50, 0.75, 0.70
@@ -30,7 +30,7 @@ def rank_controls(scored: DataFrame, controls: DataFrame, on: str = "gene_symbol
     distinct scores. Size decides at run time whether the control side is broadcast. The result, no larger than the
     control set, is written once because each summary reads it several times.
     """
-    known = scored.where(F.col("composite_score").isNotNull()).select(on, "composite_score")
+    known = settle(scored.where(F.col("composite_score").isNotNull()).select(on, "composite_score"))
     bounds = measure_bounds(known, {"v": "composite_score"})["v"]
     matched = known.join(controls.select(on, "source"), on)
     return cut(attach_table(matched, percent_rank_table(known, "composite_score", bounds), "composite_score", bounds))

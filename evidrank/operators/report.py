@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from evidrank.functions.rows import absent_names, ladder, present_names
+from evidrank.sources.stages import settle
 
 # Lowest composite and layer count per tier.
 TIERS = {
@@ -64,9 +65,10 @@ def write_dual(df: DataFrame, folder: str, base: str = "candidates", entity: str
     """Write the rows, best score first and then by id, as TSV with header and as snappy Parquet.
 
     Returns one row with the number of rows, rows per tier and number of columns, observed during the write. The
-    order comes from a range shuffle, so both outputs are globally sorted over their part files.
+    order comes from a range shuffle, so both outputs are globally sorted over their part files. The shuffle samples its
+    input before it moves it, hence the settling.
     """
-    ordered = df.orderBy(F.desc_nulls_last("composite_score"), F.asc(entity))
+    ordered = settle(df).orderBy(F.desc_nulls_last("composite_score"), F.asc(entity))
     tier = F.col("confidence_tier") if "confidence_tier" in df.columns else F.lit(None).cast("string")
     seen = Observation()
     watched = ordered.observe(

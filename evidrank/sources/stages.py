@@ -44,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Cut a frame that is about to be read several times, unless it is a plain scan that costs nothing to repeat."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return cut(df) if "Exchange" in text else df
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the cuts this application wrote."""
     _delete(spark, f"{scratch_folder(spark)}/evidrank-cuts/{spark.sparkContext.applicationId}")
