@@ -34,9 +34,9 @@ class Ftrl:
     bits: int = 22
     alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 6.0
     l2: float = 0.01
-    epochs: int = 5
+    epochs: int = 6
     max_rows: int = 16_000
 
 
