@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrank.llm import mixing, secret_scan, simhash, toxicity
+from evidrank.llm import minhash, mixing, packing, pivots, secret_scan, simhash, toxicity, warc
 from evidrank.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,21 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def packing_parameters() -> packing.Packing:
+    """Production parameters: the public vocabulary where the installed package keeps it."""
+    import public_tokenizers
+
+    return packing.Packing(tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(table(spark, folder, "documents"), packing_parameters())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded"
+    )
+
+
 @query
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -35,6 +50,51 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.with_revisits(table(spark, folder, "pages"))
+    read = warc.read(warc.write(records, warc.archive_folder(spark)))
+    full = F.col("record_type") == "response"
+    return read.select(
+        "page_id",
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(full, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+ORACLE["op4_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@query
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.compare_with_next(table(spark, folder, "documents"))
+
+
+@query
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLE["op7_top_k"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
 @query
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     rows = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
