@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrank.llm import minhash, mixing, packing, pivots, secret_scan, simhash, toxicity, warc
+from evidrank.llm import licenses, lm, minhash, mixing, packing, pivots, secret_scan, simhash, toxicity, warc
 from evidrank.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,11 @@ FROM f
 """
 
 
+@query
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.compare_with_next(table(spark, folder, "documents"))
@@ -105,3 +110,37 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.mix_sizes(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lm.score(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "n_trigram", "n_bigram", "n_unigram", F.round("log_score", 4).alias("log_score"),
+        F.round("mean_log_score", 6).alias("mean_log_score"),
+    )
+
+
+ORACLE["op10_lm_scores"] = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+g AS (SELECT doc_id, i, w, lag(w) OVER p AS v, lag(w, 2) OVER p AS u FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, count(*) AS n FROM g WHERE u IS NOT NULL GROUP BY u, v, w),
+s AS (SELECT g.doc_id, g.u, g.v, a.n AS n1, b.n AS n2, c.n AS n3, x.n AS m1, y.n AS m2
+      FROM g JOIN c1 a ON a.w = g.w LEFT JOIN c2 b ON b.v = g.v AND b.w = g.w
+      LEFT JOIN c3 c ON c.u = g.u AND c.v = g.v AND c.w = g.w
+      LEFT JOIN c1 x ON x.w = g.v LEFT JOIN c2 y ON y.v = g.u AND y.w = g.v),
+r AS (SELECT doc_id, n3 >= 2 AS three, n2 >= 2 AND coalesce(n3, 0) < 2 AS two,
+             CASE WHEN n3 >= 2 THEN ln(n3 / m2)
+                  WHEN n2 >= 2 THEN ln(n2 / m1) + CASE WHEN u IS NULL THEN 0 ELSE ln(0.4) END
+                  ELSE ln(n1 / (SELECT count(*) FROM t)) + ln(0.4) * (CASE WHEN u IS NULL THEN 0 ELSE 1 END + CASE WHEN v IS NULL THEN 0 ELSE 1 END)
+             END AS l FROM s),
+z AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE three) AS n3, count(*) FILTER (WHERE two) AS n2, sum(l) AS l FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(n3, 0) AS n_trigram, coalesce(n2, 0) AS n_bigram,
+       coalesce(n - n2 - n3, 0) AS n_unigram, round(coalesce(l, 0.0), 4) AS log_score, round(l / n, 6) AS mean_log_score
+FROM d LEFT JOIN z USING (doc_id)
+"""
