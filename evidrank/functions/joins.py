@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALT = "__salt"
-BROADCAST_ROWS = 200_000
 
 
 def row_salt(df: DataFrame, width: int) -> Column:
@@ -47,11 +46,6 @@ def keep_listed(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids.select(on), on, "left_semi")
 
 
-def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether a narrow table has at most ``limit`` rows; stops reading one row past the limit."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def widen(df: DataFrame) -> DataFrame:
     """Spread a scan that has fewer partitions than the cluster has slots, before heavy per-row work.
 

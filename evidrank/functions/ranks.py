@@ -83,7 +83,7 @@ def value_table(df: DataFrame, value: str, bounds: Bounds | None = None, by: Seq
     bounds = bounds or measure_bounds(df, {"v": value})["v"]
     v = F.col(value)
     counts = (
-        df.where(v.isNotNull())
+        df.where(v.isNotNull() & ~F.isnan(v.cast("double")))  # NaN is no value
         .groupBy(*by, v.cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("n_ties"))
         .withColumn("_bucket", bounds.bucket(F.col(value)))

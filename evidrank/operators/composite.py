@@ -42,7 +42,8 @@ def evidence_join(
 
     ``layers`` maps a layer name to its table and score column. A left join of the universe to n aggregated layers is
     one grouped aggregation over their union: one shuffle on the key in place of n + 1, combined map-side so a hot key
-    costs one row per task, and no sort-merge joins. Rows without a universe entry drop out at the end.
+    costs one row per task, and no sort-merge joins. Rows without a universe entry drop out at the end; a layer row
+    without an id meets no entity, not even one without an id.
     """
     names = list(layers)
     empty = {n: F.lit(None).cast("double") for n in names}
@@ -53,7 +54,7 @@ def evidence_join(
 
     rows = tagged(universe, F.col(symbol), True, {})
     for name, (df, column) in layers.items():
-        part = tagged(df, F.lit(None).cast("string"), False, {name: F.col(column).cast("double")})
+        part = tagged(df.where(F.col(entity).isNotNull()), F.lit(None).cast("string"), False, {name: F.col(column).cast("double")})
         rows = rows.unionByName(part)
     joined = (
         rows.groupBy(entity)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidrank.functions.joins import attach, keep_listed, within_rows
+from evidrank.functions.joins import attach, keep_listed
 from evidrank.functions.ranks import with_percentile
 from evidrank.functions.rows import filled_sum, ladder, lookup, mentions_any
 from evidrank.sources.stages import resume_remaining
@@ -63,20 +63,29 @@ def mention_counts(
     text: str = "text",
     symbol: str = "gene_symbol",
 ) -> DataFrame:
-    """Documents that mention each entity's symbol as a word, in total and per flag; zero when never mentioned.
+    """Documents that mention each entity's symbol, in total and per flag; zero when never mentioned.
 
-    Distinct words of each document are counted per word first, map-side, and only the per-word totals meet the entity
-    table. A word found in a third of all documents therefore costs one row per task, and the join has unique keys.
-    When the symbols pass a row count check they are also broadcast to drop all other words before that count, so
-    the vocabulary of the texts is never shuffled.
+    A symbol of several words (``AC01.1``) is looked for as that run of words: symbols and texts are split by the same
+    rule, and runs up to the longest symbol are taken from the texts. Distinct runs of each document are counted per
+    run first, map-side, and only the totals meet the entity table. A word found in a third of all documents therefore
+    costs one row per task, and the join has unique keys.
     """
     flagged = document_flags(docs, contexts, direct, screen, text)
     flags = [*[f"{n}_context" for n in contexts], "direct_experimental", "hts_screen"]
-    words = F.array_distinct(F.split(F.lower(F.col(text)), "[^a-z0-9_-]+"))
-    listed = entities.select(symbol).distinct().withColumn("_word", F.lower(symbol))
-    found = flagged.select(F.explode(words).alias("_word"), *flags)
-    if within_rows(listed):
-        found = found.join(F.broadcast(listed.select("_word")), "_word", "left_semi")
+    split = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9_-]+"), lambda w: w != "")
+    listed = entities.select(symbol).distinct().withColumn("_words", split(symbol))
+    lengths = sorted(r[0] for r in listed.select(F.size("_words")).distinct().collect() if r[0] > 0)  # one per length
+    listed = listed.withColumn("_word", F.array_join("_words", " ")).drop("_words")
+
+    def runs(words: Column, n: int) -> Column:
+        if n == 1:
+            return words
+        starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda w, i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(n))))
+
+    worded = flagged.withColumn("_words", split(text))
+    every = [runs(F.col("_words"), n) for n in lengths] or [F.array().cast("array<string>")]
+    found = worded.select(F.explode(F.array_distinct(F.concat(*every))).alias("_word"), *flags)
     per_word = found.groupBy("_word").agg(*_counts(flags))
     joined = attach(listed, per_word, "_word").drop("_word")
     return joined.na.fill(0, [c for c in joined.columns if c.endswith("_count")])

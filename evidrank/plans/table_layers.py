@@ -244,12 +244,12 @@ TARGET = ["purchase", "signup"]
 LEVELS_SQL = """
 levels AS (
   SELECT user_id, event_type, CASE WHEN value > 300 THEN NULL WHEN value > 180 THEN 3e0 WHEN value > 120 THEN 2e0
-    WHEN value > 80 THEN 1e0 ELSE 0e0 END AS level FROM events WHERE value > 60)"""
+    WHEN value > 80 THEN 1e0 WHEN value > 60 THEN 0e0 END AS level FROM events)"""
 
 WIDE_SQL = """
 wide AS (SELECT user_id AS gene_id, """ + ", ".join(
-    f"max(CASE WHEN event_type = '{t}' THEN value END) AS {t}" for t in TYPES
-) + """ FROM events WHERE value > 60 GROUP BY user_id)"""
+    f"max(CASE WHEN event_type = '{t}' AND value > 60 THEN value END) AS {t}" for t in TYPES
+) + """ FROM events GROUP BY user_id)"""
 
 
 def _known_mean_sql(columns: list[str]) -> str:
@@ -275,9 +275,9 @@ expressed AS (SELECT *, CASE WHEN target_enrichment IS NOT NULL OR tau_specifici
 
 
 def wide_values(spark: SparkSession, sf: str) -> DataFrame:
-    """Highest value over 60 per user and event type: some users lack some types."""
-    rows = table(spark, sf, "events").where(F.col("value") > 60)
-    cells = [F.max(F.when(F.col("event_type") == t, F.col("value"))).alias(t) for t in TYPES]
+    """Highest value per user and event type; values up to 60 count as unknown, so some users lack some types."""
+    rows = table(spark, sf, "events")
+    cells = [F.max(F.when((F.col("event_type") == t) & (F.col("value") > 60), F.col("value"))).alias(t) for t in TYPES]
     return rows.groupBy(F.col("user_id").alias("gene_id")).agg(*cells)
 
 
@@ -291,8 +291,8 @@ def level_pivot(spark, sf):
     value = F.col("value")
     name = (
         F.when(value > 300, "Off scale").when(value > 180, "High").when(value > 120, "Medium").when(value > 80, "Low")
-    ).otherwise("Not detected")
-    rows = table(spark, sf, "events").where(value > 60).select(
+    ).when(value > 60, "Not detected")
+    rows = table(spark, sf, "events").select(
         F.col("user_id").alias("gene_id"), F.col("event_type").alias("tissue"), name.alias("level")
     )
     return X.level_pivot(rows, {t: f"{t}_level" for t in TYPES if t != "error"}, entity="gene_id")
@@ -540,23 +540,23 @@ def threshold_localized(spark, sf):
 KEYWORDS = ["ring", "OLD", "gizmo"]
 
 SUPPORT_SQL = """
-support AS (SELECT l_partkey, l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL),
+support AS (SELECT l_partkey, l_suppkey, l_returnflag = 'A' AS fish, count(*) AS n FROM lineitem GROUP BY ALL),
 mouse AS (SELECT l_partkey AS gene_id, l_suppkey AS mouse_ortholog,
     CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS mouse_ortholog_confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS i FROM support WHERE l_returnflag = 'R') WHERE i = 1),
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS i FROM support WHERE NOT fish) WHERE i = 1),
 fish AS (SELECT l_partkey AS gene_id, l_suppkey AS zebrafish_ortholog,
     CASE WHEN n >= 3 THEN 'HIGH' WHEN n >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS zebrafish_ortholog_confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS i FROM support WHERE l_returnflag = 'A') WHERE i = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS i FROM support WHERE fish) WHERE i = 1)"""
 
 PHENO_SQL = """
-lp AS (SELECT l_suppkey, p_name, l_quantity, l_discount, l_tax FROM lineitem JOIN part ON l_partkey = p_partkey
+lp AS (SELECT DISTINCT l_suppkey, p_name, l_orderkey % 3 AS kind FROM lineitem JOIN part ON l_partkey = p_partkey
        WHERE regexp_matches(lower(p_name), 'ring|old|gizmo')),
 mgi AS (SELECT l_suppkey, count(*) AS n, string_agg(p_name, '; ' ORDER BY p_name) AS t
-        FROM (SELECT DISTINCT l_suppkey, p_name FROM lp WHERE l_quantity >= 48) GROUP BY l_suppkey),
+        FROM (SELECT DISTINCT l_suppkey, p_name FROM lp WHERE kind = 0) GROUP BY l_suppkey),
 zfin AS (SELECT l_suppkey, count(*) AS n, string_agg(p_name, '; ' ORDER BY p_name) AS t
-         FROM (SELECT DISTINCT l_suppkey, p_name FROM lp WHERE l_discount >= 0.095) GROUP BY l_suppkey),
+         FROM (SELECT DISTINCT l_suppkey, p_name FROM lp WHERE kind = 1) GROUP BY l_suppkey),
 impc AS (SELECT l_suppkey, count(*) AS n, string_agg(p_name, '; ' ORDER BY p_name) AS t
-         FROM (SELECT DISTINCT l_suppkey, p_name FROM lp WHERE l_tax >= 0.075 AND l_quantity > 45) GROUP BY l_suppkey)"""
+         FROM (SELECT DISTINCT l_suppkey, p_name FROM lp WHERE kind = 2) GROUP BY l_suppkey)"""
 
 ANIMAL_SQL = f"""{SUPPORT_SQL}, {PHENO_SQL},
 joined AS (
@@ -577,29 +577,34 @@ animals AS (
   FROM joined, peak)"""
 
 
-def supplier_support(spark: SparkSession, sf: str, flag: str, prefix: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where(F.col("l_returnflag") == flag)
-    counts = rows.groupBy(F.col("l_partkey").alias("gene_id"), "l_suppkey").agg(F.count(F.lit(1)).alias("support_count"))
+def supplied_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items per part, supplier, species and kind of phenotype, from one scan; every row has one of each."""
+    rows = table(spark, sf, "lineitem")
+    keys = ["l_partkey", "l_suppkey", (F.col("l_returnflag") == "A").alias("fish"), F.pmod("l_orderkey", F.lit(3)).alias("kind")]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def supplier_support(parts: DataFrame, fish: bool, prefix: str) -> DataFrame:
+    rows = parts.where(F.col("fish") == F.lit(fish))
+    counts = rows.groupBy(F.col("l_partkey").alias("gene_id"), "l_suppkey").agg(F.sum("n").alias("support_count"))
     return O.best_support(counts, "gene_id", "l_suppkey", "support_count", prefix, high=3, medium=2)
 
 
 def animal_parts(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "part").select(F.col("p_partkey").alias("gene_id"))
-    orthologs = O.ortholog_mapping(
-        ids, supplier_support(spark, sf, "R", "mouse"), supplier_support(spark, sf, "A", "zebrafish")
-    )
-    supplied = table(spark, sf, "lineitem").join(
-        table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey"
-    )
+    parts = cut(supplied_parts(spark, sf))
+    orthologs = O.ortholog_mapping(ids, supplier_support(parts, False, "mouse"), supplier_support(parts, True, "zebrafish"))
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    named = cut(parts.join(names, "l_partkey").select("l_suppkey", "p_name", "kind").distinct())
 
-    def phenotypes(condition, entity, term):
-        return supplied.where(condition).select(F.col("l_suppkey").alias(entity), F.col("p_name").alias(term)).distinct()
+    def phenotypes(kind, entity, term):
+        return named.where(F.col("kind") == kind).select(F.col("l_suppkey").alias(entity), F.col("p_name").alias(term))
 
     return O.animal_layer(
         orthologs,
-        phenotypes(F.col("l_quantity") >= 48, "mouse_gene", "mp_term_name"),
-        phenotypes(F.col("l_discount") >= 0.095, "zebrafish_gene", "zp_term_name"),
-        phenotypes((F.col("l_tax") >= 0.075) & (F.col("l_quantity") > 45), "mouse_gene", "mp_term_name"),
+        phenotypes(0, "mouse_gene", "mp_term_name"),
+        phenotypes(1, "zebrafish_gene", "zp_term_name"),
+        phenotypes(2, "mouse_gene", "mp_term_name"),
         KEYWORDS,
         KEYWORDS,
     )
@@ -607,7 +612,7 @@ def animal_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("best_support", f"WITH {SUPPORT_SQL} SELECT * FROM mouse")
 def best_support(spark, sf):
-    return supplier_support(spark, sf, "R", "mouse")
+    return supplier_support(supplied_parts(spark, sf), False, "mouse")
 
 
 @query(
@@ -617,7 +622,8 @@ def best_support(spark, sf):
 )
 def ortholog_mapping(spark, sf):
     ids = table(spark, sf, "part").select(F.col("p_partkey").alias("gene_id"))
-    return O.ortholog_mapping(ids, supplier_support(spark, sf, "R", "mouse"), supplier_support(spark, sf, "A", "zebrafish"))
+    parts = cut(supplied_parts(spark, sf))
+    return O.ortholog_mapping(ids, supplier_support(parts, False, "mouse"), supplier_support(parts, True, "zebrafish"))
 
 
 @query("keyword_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'ring|old|gizmo')")

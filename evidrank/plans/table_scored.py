@@ -31,14 +31,14 @@ LAYERS = list(WEIGHTS)
 
 LAYERS_SQL = f"""
 texts AS (SELECT doc_id, ({" + ".join(f"CAST({_word_sql(t)} AS INT)" for t in CONTEXTS.values())}) / 4e0 AS v
-          FROM documents WHERE lang = 'en'),
-talks AS (SELECT conv_id, least(1e0, count(*) / 10e0) AS v FROM conversations GROUP BY conv_id),
+          FROM documents),
+talks AS (SELECT conv_id, count(*) / (count(*) + 5e0) AS v FROM conversations GROUP BY conv_id),
 joined AS (
   SELECT d.doc_id AS gene_id, md5(d.text) AS gene_symbol, d.source,
-    CASE WHEN d.lang <> 'es' THEN least(d.n_chars, 20000) / 20000e0 END AS length_score,
+    CASE WHEN d.lang <> 'es' THEN d.n_chars / (d.n_chars + 5000e0) END AS length_score,
     l.quality * 0.8e0 + 0.1e0 AS quality_score,
     CASE WHEN l.quality = 1 THEN 0.9e0 - 0.8e0 * l.toxic END AS safety_score,
-    t.v AS topic_score, k.v AS talk_score, CASE WHEN p.html IS NOT NULL THEN least(1e0, length(p.html) / 10000e0) END AS markup_score
+    t.v AS topic_score, k.v AS talk_score, length(p.html) / (length(p.html) + 5000e0) AS markup_score
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN texts t ON d.doc_id = t.doc_id
     LEFT JOIN talks k ON d.doc_id = k.conv_id LEFT JOIN pages p ON d.doc_id = p.page_id),
 counted AS (SELECT *, CAST({" + ".join(f"CASE WHEN {n}_score IS NULL THEN 0 ELSE 1 END" for n in LAYERS)} AS BIGINT) AS evidence_count FROM joined)"""
@@ -70,26 +70,28 @@ tiered AS (
 
 
 def document_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, tuple[DataFrame, str]]]:
+    """Six stand-in layers. Counts and lengths x score x / (x + half), which no long text or talk exceeds or evens out."""
     docs = table(spark, sf, "documents")
-    english = widen(docs.where(F.col("lang") == "en").select("doc_id", "text"))
+    texts = widen(docs.select("doc_id", "text"))
+    share = lambda x, half: x / (x + F.lit(half))
     doc_id = F.col("doc_id").alias("gene_id")
     universe = docs.select(doc_id, F.md5("text").alias("gene_symbol"))
     labels = table(spark, sf, "labels")
     flags = [mentions_any("text", terms).cast("int") for terms in CONTEXTS.values()]
     parts = {
         "length": docs.where(F.col("lang") != "es").select(
-            doc_id, (F.least("n_chars", F.lit(20000)) / F.lit(20000.0)).alias("score")
+            doc_id, share(F.col("n_chars"), 5000.0).alias("score")
         ),
         "quality": labels.select(doc_id, (F.col("quality") * F.lit(0.8) + F.lit(0.1)).alias("score")),
         "safety": labels.where(F.col("quality") == 1).select(
             doc_id, (F.lit(0.9) - F.lit(0.8) * F.col("toxic")).alias("score")
         ),
-        "topic": english.select(doc_id, (sum(flags, F.lit(0)) / F.lit(4.0)).alias("score")),
+        "topic": texts.select(doc_id, (sum(flags, F.lit(0)) / F.lit(4.0)).alias("score")),
         "talk": table(spark, sf, "conversations")
         .groupBy(F.col("conv_id").alias("gene_id"))
-        .agg(F.least(F.lit(1.0), F.count(F.lit(1)) / F.lit(10.0)).alias("score")),
+        .agg(share(F.count(F.lit(1)), 5.0).alias("score")),
         "markup": table(spark, sf, "pages").select(
-            F.col("page_id").alias("gene_id"), F.least(F.lit(1.0), F.length("html") / F.lit(10000.0)).alias("score")
+            F.col("page_id").alias("gene_id"), share(F.length("html"), 5000.0).alias("score")
         ),
     }
     return universe, {n: (df, "score") for n, df in parts.items()}
@@ -654,6 +656,44 @@ def delimited_scan(spark, sf):
     return schema.conform(delimited.read_delimited(spark, path), _struct(declared))
 
 
+def _write_with_head(spark: SparkSession, lines: DataFrame, head: list[str], files: int = 4) -> str:
+    """Text files of the lines (column ``value``), each below the same head lines."""
+    path = f"{scratch_folder(spark)}/evidrank-sinks/{uuid.uuid4().hex}"
+    tops = spark.createDataFrame([(f, n, line) for f in range(files) for n, line in enumerate(head)], "file int, n int, value string")
+    rows = lines.select(F.pmod(F.xxhash64("value"), F.lit(files)).cast("int").alias("file"), F.lit(len(head)).alias("n"), "value")
+    rows = tops.unionByName(rows).repartitionById(files, F.col("file")).sortWithinPartitions("n")
+    rows.select("value").write.text(path)
+    return path
+
+
+def _named_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Tab-separated customers: a third has a number for a name, a third a name that starts with #; fields are empty."""
+    key = F.col("c_custkey")
+    name = F.when(key % 3 == 0, F.concat(F.lit("#"), "c_name")).when(key % 3 == 1, key.cast("string")).otherwise(F.col("c_name"))
+    value = F.when(F.col("c_nationkey") <= 9, F.col("c_acctbal").cast("string")).otherwise("")
+    return table(spark, sf, "customer").select(F.concat_ws("\t", name, F.col("c_nationkey").cast("string"), value).alias("value"))
+
+
+NAMED_SQL = """SELECT CASE WHEN c_custkey % 3 = 0 THEN '#' || c_name WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
+  CAST(c_nationkey AS VARCHAR) AS description, CASE WHEN c_nationkey <= 9 THEN c_acctbal END AS value FROM customer"""
+
+
+@query("preamble_scan", NAMED_SQL)
+def preamble_scan(spark, sf):
+    """Files below a version line, a dimension line and the header, read back without losing a row."""
+    path = _write_with_head(spark, _named_lines(spark, sf), ["#1.2", "600\t1", "Name\tDescription\tValue"])
+    rows = delimited.read_preamble(spark, path)
+    return rows.select(F.col("Name").alias("name"), F.col("Description").alias("description"), schema.lenient("Value", "double").alias("value"))
+
+
+@query("comment_scan", NAMED_SQL)
+def comment_scan(spark, sf):
+    """Files whose first line is a comment; later lines that start like one are rows."""
+    path = _write_with_head(spark, _named_lines(spark, sf), ["# release 7", "Name\tDescription\tValue"])
+    rows = delimited.read_delimited(spark, path, comment="#")
+    return rows.select(F.col("Name").alias("name"), F.col("Description").alias("description"), schema.lenient("Value", "double").alias("value"))
+
+
 def _struct(ddl: str):
     from pyspark.sql.types import StructType
 

@@ -170,10 +170,11 @@ GROUPS = {
 PROTEINS_SQL = f"""
 feat AS (
   SELECT doc_id AS uniprot_id, CASE WHEN lang <> 'de' THEN n_chars END AS protein_length,
-    list_distinct(string_split(string_split(text, chr(10))[1], ' ')) AS names,
+    list_distinct(string_split(text, ' ')) AS names,
     CASE WHEN lang <> 'es' THEN len(list_filter(string_split(text, ' '), lambda w: w LIKE 'co%')) END AS coiled_coil_count,
     len(list_filter(string_split(text, ' '), lambda w: w LIKE 'er%')) AS transmembrane_count FROM documents),
-dom AS (SELECT conv_id AS uniprot_id, list_distinct(string_split(text, ' ')) AS other FROM conversations WHERE turn = 1),
+dom AS (SELECT conv_id AS uniprot_id, list_distinct(flatten(list(string_split(text, ' ')))) AS other FROM conversations
+        GROUP BY conv_id),
 merged AS (
   SELECT feat.*, CASE WHEN len(other) > 0 THEN list_distinct(list_concat(names, other)) ELSE names END AS domain_names,
     coiled_coil_count > 0 AS coiled_coil FROM feat LEFT JOIN dom USING (uniprot_id)),
@@ -196,14 +197,15 @@ def protein_sources(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     features = text_documents(spark, sf).select(
         F.col("doc_id").alias("uniprot_id"),
         F.when(F.col("lang") != "de", F.col("n_chars")).alias("protein_length"),
-        F.array_distinct(F.split(F.split("text", "\n")[0], " ")).alias("domain_names"),
+        F.array_distinct(words).alias("domain_names"),
         F.when(F.col("lang") != "es", starting("co")).alias("coiled_coil_count"),
         starting("er").alias("transmembrane_count"),
     )
     domains = (
         table(spark, sf, "conversations")
-        .where(F.col("turn") == 1)
-        .select(F.col("conv_id").alias("uniprot_id"), F.array_distinct(words).alias("domain_names"))
+        .select(F.col("conv_id").alias("uniprot_id"), F.explode(F.array_distinct(words)).alias("word"))
+        .groupBy("uniprot_id")
+        .agg(F.collect_set("word").alias("domain_names"))  # words of one conversation, each once
     )
     return features, domains
 

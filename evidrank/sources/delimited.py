@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DEFAULT_NULLS = ("NA", "", ".")
 
@@ -22,6 +21,34 @@ def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df.repartition(partitions) if partitions else df
 
 
+def _heads(spark: SparkSession, path: str | list[str], lines: int) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their first lines; only those lines reach the driver."""
+    by_head: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        head = tuple(r[0] for r in spark.read.text(file).limit(lines).collect())
+        by_head.setdefault(head, []).append(file)
+    return by_head
+
+
+def _rows_below(spark: SparkSession, files: list[str], head: Sequence[str], header: str, separator: str) -> DataFrame:
+    """Every line of the files but the head lines, told by their exact text, split into the header's columns.
+
+    Files may be split anywhere. A line that repeats a whole head line word for word cannot be told from it.
+    """
+    names = [n.strip('"') for n in header.split(separator)]
+    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    lines = spark.read.text(files).where(~F.col("value").isin(*head))
+    parsed = F.from_csv(F.col("value"), ddl, {"sep": separator, "mode": "PERMISSIVE"})
+    return lines.where(F.col("value") != "").select(parsed.alias("row")).select("row.*")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | list[str],
@@ -33,12 +60,19 @@ def read_delimited(
     """All-string scan of delimited files with a header line.
 
     Gzip files (``.gz``, and block gzip under that name) are read as they are, but one task reads one file:
-    give ``partitions`` to spread the rows before heavy work. ``comment`` drops lines that start with that character.
+    give ``partitions`` to spread the rows before heavy work. With ``comment`` the first line of a file is dropped if it
+    starts so, and no other: names may begin with that character too. Files whose columns stand in another order are
+    united by name then, and refused without ``comment``.
     """
-    reader = spark.read.option("header", True).option("sep", separator)
-    if comment:
-        reader = reader.option("comment", comment)
-    return _spread(nullify(reader.csv(path), null_tokens), partitions)
+    if not comment:
+        reader = spark.read.option("header", True).option("sep", separator).option("enforceSchema", False)
+        return _spread(nullify(reader.csv(path), null_tokens), partitions)
+    parts = []
+    for head, files in _heads(spark, path, 2).items():
+        drop = head if head[:1] and head[0].startswith(comment) else head[:1]
+        if drop:
+            parts.append(_rows_below(spark, files, drop, drop[-1], separator))
+    return _spread(nullify(_union(parts), null_tokens), partitions)
 
 
 def read_preamble(
@@ -50,24 +84,10 @@ def read_preamble(
 ) -> DataFrame:
     """Scan of files that start with a version line, a dimension line and then the header.
 
-    Only the three head lines reach the driver. The preamble rows of each file are dropped by content, so the files
-    may be split or come in any number: the version line is a comment, the header equals the column names, and the
-    dimension line has values in its first two fields only, both whole numbers.
+    Only the three head lines of each file reach the driver, and only they are dropped, by their exact text: rows with
+    numeric names, empty fields or names that start with ``#`` stay.
     """
-    head = [r[0] for r in spark.read.text(path).limit(3).collect()]
-    names = head[2].split(separator)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    body = (
-        spark.read.schema(schema)
-        .option("sep", separator)
-        .option("comment", "#")
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    first, second = F.col(f"`{names[0]}`"), F.col(f"`{names[1]}`")
-    is_header = (first == names[0]) & (second == names[1])
-    is_size = first.rlike(r"^\d+$") & second.rlike(r"^\d+$")
-    if len(names) > 2:
-        is_size = is_size & F.col(f"`{names[2]}`").isNull()
-    keep = ~F.coalesce(is_header, F.lit(False)) & ~F.coalesce(is_size, F.lit(False))
-    return _spread(nullify(body.where(keep), null_tokens), partitions)
+    parts = [
+        _rows_below(spark, files, head, head[2], separator) for head, files in _heads(spark, path, 3).items() if len(head) == 3
+    ]
+    return _spread(nullify(_union(parts), null_tokens), partitions)

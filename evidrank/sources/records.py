@@ -50,7 +50,7 @@ def entity_ids(records: DataFrame, json_column: str, prefix: str, field: str = "
 def id_mapping(records: DataFrame, json_column: str) -> DataFrame:
     """``gene_id, gene_symbol, uniprot_accession`` from mapping hits; not-found hits keep their id with NULLs.
 
-    Several hits for one id collapse to one row.
+    Several hits for one id collapse to one of them, never to a mix: a hit with a symbol first, then by symbol and accession.
     """
     parsed = parse_records(
         records, json_column, "query string, symbol string, notfound boolean, uniprot struct<`Swiss-Prot`: string>"
@@ -61,9 +61,14 @@ def id_mapping(records: DataFrame, json_column: str) -> DataFrame:
         F.when(found, F.col("symbol")).alias("gene_symbol"),
         F.when(found, text_or_first(F.col("uniprot.`Swiss-Prot`"))).alias("uniprot_accession"),
     )
-    return mapped.groupBy("gene_id").agg(
-        F.min("gene_symbol").alias("gene_symbol"), F.min("uniprot_accession").alias("uniprot_accession")
+    hit = F.struct(
+        F.col("gene_symbol").isNull().alias("no_symbol"),
+        "gene_symbol",
+        F.col("uniprot_accession").isNull().alias("no_accession"),
+        "uniprot_accession",
     )
+    best = mapped.groupBy("gene_id").agg(F.min(hit).alias("hit"))
+    return best.select("gene_id", "hit.gene_symbol", "hit.uniprot_accession")
 
 
 def _count_or_null(text: Column) -> Column:

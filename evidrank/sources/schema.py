@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 
 def lenient(c: Column | str, data_type: str | T.DataType) -> Column:
-    """Cast that turns an unreadable value into NULL (a plain cast raises under ANSI mode)."""
+    """Cast that turns an unreadable value, NaN among them, into NULL (a plain cast raises under ANSI mode)."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.try_cast(data_type)
+    value = c.try_cast(data_type)
+    name = data_type if isinstance(data_type, str) else data_type.simpleString()
+    return F.when(~F.isnan(value), value) if name.lower() in ("double", "float") else value
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -24,7 +24,7 @@ def scratch_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a fresh local one only under a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
+        return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="evidrank-")
@@ -45,9 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut a frame that is about to be read several times, unless it is a plain scan that costs nothing to repeat."""
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return cut(df) if "Exchange" in text else df
+    """Cut a frame that is about to be read several times; a caller that knows it for a plain scan need not call this."""
+    return cut(df)
 
 
 def drop_cuts(spark: SparkSession) -> None:

@@ -335,6 +335,14 @@ def test_literature_tiers_and_score(spark):
         T.supported_at_least(ids, "best")
 
 
+def test_mentions_of_symbols_of_several_words(spark):
+    texts = ["See AC01.1 and rp-4 here", "ac01 1, RP-4", "AC01 and 1", "none", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    names = spark.createDataFrame([("AC01.1",), ("RP-4",), ("A/B C",), ("...",), ("none",)], "gene_symbol string")
+    out = T.mention_counts(docs, names, presets.SEARCH_CONTEXTS, presets.DIRECT_TERMS, presets.SCREEN_TERMS)
+    assert by_key(out, "gene_symbol", "total_pubmed_count") == {"AC01.1": 2, "RP-4": 2, "A/B C": 0, "...": 0, "none": 1}
+
+
 def test_mention_counts(spark):
     docs = spark.createDataFrame(
         [

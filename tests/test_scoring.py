@@ -46,6 +46,13 @@ def test_join_keeps_missing_apart_from_zero(spark):
     ]
 
 
+def test_ids_that_are_missing_meet_nothing(spark):
+    universe = spark.createDataFrame([(None, "X"), ("g1", "Y")], "gene_id string, gene_symbol string")
+    layer = spark.createDataFrame([(None, 0.9), ("g1", 0.4)], "gene_id string, score double")
+    out = J.evidence_join(universe, {"a": (layer, "score")}, dedupe=False)
+    assert by_key(out, "gene_symbol", "a_score") == {"X": None, "Y": 0.4}
+
+
 def test_join_is_one_shuffle(spark):
     text = plan(J.evidence_join(*store_frames(spark), dedupe=False))
     assert text.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in text

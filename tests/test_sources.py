@@ -31,6 +31,31 @@ def test_comment_and_gzip(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 3
 
 
+def test_heads_cost_no_rows(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("# first\nname\tx\n#row\t1\n# first row\t2\n")
+    (tmp_path / "d.tsv").write_text("x\tname\n3\t#4\n")
+    df = delimited.read_delimited(spark, [str(tmp_path / "c.tsv"), str(tmp_path / "d.tsv")], comment="#")
+    assert rows(df, "name", "x") == [("# first row", "2"), ("#4", "3"), ("#row", "1")]
+    (tmp_path / "p.gct").write_text("#1.2\n3\t2\nName\tDescription\tA\tB\n101\t202\t\t5\n#n\td\t1\t2\n3\t2\t7\t8\n")
+    assert rows(delimited.read_preamble(spark, str(tmp_path / "p.gct"))) == [("#n", "d", "1", "2"), ("101", "202", None, "5"), ("3", "2", "7", "8")]
+
+
+def test_mapping_takes_one_hit_whole(spark):
+    hits = [
+        '{"query": "E1", "symbol": "ZZZ", "uniprot": {"Swiss-Prot": "P1"}}',
+        '{"query": "E1", "symbol": "AAA", "uniprot": {"Swiss-Prot": "P9"}}',
+        '{"query": "E2", "uniprot": {"Swiss-Prot": "P3"}}',
+        '{"query": "E2", "symbol": "B"}',
+    ]
+    df = records.id_mapping(spark.createDataFrame([(h,) for h in hits], "hit string"), "hit")
+    assert rows(df) == [("E1", "AAA", "P9"), ("E2", "B", None)]
+
+
+def test_nan_is_no_value(spark):
+    df = spark.createDataFrame([("1.5",), ("NaN",), ("x",)], "v string")
+    assert rows(df.select(schema.lenient("v", "double").alias("v"))) == [(None,), (None,), (1.5,)]
+
+
 def test_preamble(spark, tmp_path):
     head = "#1.2\n3\t2\nName\tDescription\tEye - Retina\tTestis\n"
     write(tmp_path / "a.gct", head + "ENSG1.5\tA\t1.5\tNA\nENSG2.1\tB\t2\t3\n")

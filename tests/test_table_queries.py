@@ -9,9 +9,11 @@ import pytest
 from helpers import plan
 
 import __spark_entry__ as entry_points
+from evidrank.plans import registry
 from evidrank.plans.table_scored import LAYERS, composite_documents
 
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+# The library's own queries; those of the llm subpackage have their tests beside them.
+QUERIES, ORACLE = registry.QUERIES, registry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -74,4 +76,16 @@ def test_scans_read_only_what_they_need(spark, tables):
     scan = next(line for line in text.splitlines() if "lineitem.parquet" in line)
     assert "l_partkey" in scan and "l_linestatus" in scan and "l_quantity" not in scan and "l_shipdate" not in scan
     text = plan(QUERIES["tau_specificity"](spark, tables))
-    assert "GreaterThan(value,60.0)" in text and "props" not in text
+    assert "PushedFilters: []" in text and "GreaterThan" not in text and "props" not in text  # every event is read
+
+
+def test_entry_points_hold_every_query():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
+def test_one_scan_of_the_line_items(spark, tables):
+    from evidrank.plans.table_layers import supplied_parts
+
+    text = plan(supplied_parts(spark, tables))
+    assert text.count("lineitem.parquet") == 1 and "PushedFilters: []" in text
