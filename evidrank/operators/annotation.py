@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidrank.functions.joins import attach, keep_listed
 from evidrank.functions.ranks import quantiles
 from evidrank.functions.rows import clip, known_sum, ladder, log2_plus_one
+from evidrank.sources.stages import cut
 
 # Tier cut-offs and component weights.
 WELL_TERMS, WELL_SCORE = 20, 4
@@ -50,7 +51,8 @@ def source_scores(mapping: DataFrame, scores: DataFrame, ids: DataFrame | None =
 def annotation_layer(counts: DataFrame, mapping: DataFrame, scores: DataFrame) -> DataFrame:
     """Counts per entity, joined with their source scores, then tier and score."""
     joined = attach(counts, source_scores(mapping, scores), "gene_id")
-    return annotation_score(annotation_tier(joined))
+    # The score reads the joined rows twice: once for the highest count, once for the result.
+    return annotation_score(annotation_tier(cut(joined)))
 
 
 def annotation_summary(df: DataFrame) -> DataFrame:

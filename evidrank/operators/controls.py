@@ -23,16 +23,20 @@ def control_set(spark: SparkSession, members: Mapping[str, Iterable[str]], confi
     return spark.createDataFrame(rows, "gene_symbol string, source string, confidence string")
 
 
-def rank_controls(scored: DataFrame, controls: DataFrame, on: str = "gene_symbol") -> DataFrame:
+def rank_controls(
+    scored: DataFrame, controls: DataFrame, on: str = "gene_symbol", keep: Sequence[str] = ("source",)
+) -> DataFrame:
     """Scored controls with their PERCENT_RANK among all known composites, one row per (entity, source).
 
+    Several control sets are ranked at once if their union, with the set among the columns to ``keep``, is given.
+
     The controls are joined first and only they receive a rank, so the full table is shuffled once, collapsed to its
     distinct scores. Size decides at run time whether the control side is broadcast. The result, no larger than the
     control set, is written once because each summary reads it several times.
     """
     known = settle(scored.where(F.col("composite_score").isNotNull()).select(on, "composite_score"))
     bounds = measure_bounds(known, {"v": "composite_score"})["v"]
-    matched = known.join(controls.select(on, "source"), on)
+    matched = known.join(controls.select(on, *keep), on)
     return cut(attach_table(matched, percent_rank_table(known, "composite_score", bounds), "composite_score", bounds))
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidrank.functions.rows import ladder
 from evidrank.operators.composite import check_weights, composite_sql
 
 # Default perturbations, list length, stability limit and smallest overlap for a correlation.
@@ -15,7 +15,6 @@ DEFAULT_DELTAS = (-0.10, -0.05, 0.05, 0.10)
 TOP_N = 100
 STABLE_RHO = 0.85
 MIN_OVERLAP = 10
-BASELINE = "baseline"
 
 
 def perturb_weights(weights: Mapping[str, float], layer: str, delta: float) -> dict[str, float]:
@@ -68,9 +67,9 @@ def best_by_scenario(
 ) -> DataFrame:
     """Per symbol and scenario, the composite of the kept row: most layers, then best composite, then smallest id.
 
-    Rows are not multiplied by the number of scenarios. One aggregation holds a running best per scenario, combined
-    map-side so a hot symbol sends one row per task, and only its results are expanded to
-    ``scenario, symbol, entity, composite``. Rows without a symbol are never collapsed.
+    Input rows are not multiplied by the number of scenarios. One aggregation holds a running best per scenario,
+    combined map-side so a hot symbol sends one row per task; only its results, one per symbol, are expanded to
+    ``scenario, symbol, entity, composite``, one row per symbol and scenario. Rows without a symbol are never collapsed.
     """
 
     def kept(weights: Mapping[str, float]) -> str:
@@ -98,8 +97,8 @@ def sensitivity_sweep(
 ) -> DataFrame:
     """Spearman correlation between the baseline and each perturbed top list over their common symbols.
 
-    Takes the undeduplicated evidence join. Columns: ``layer, delta, spearman_rho, t_statistic, overlap_count, top_n,
-    perturbed_weights``. ``spearman_rho`` is NULL under ten common entries.
+    Takes the undeduplicated evidence join. Columns: ``layer, delta, spearman_rho, overlap_count, top_n,
+    perturbed_weights, t_statistic, p_value``. ``spearman_rho`` is NULL under ten common entries.
     """
     check_weights(weights)
     grid = scenarios(weights, deltas)
@@ -141,7 +140,29 @@ def _agreement(pairs: DataFrame, grid: Sequence[tuple[str, float, Mapping[str, f
     )
     spread = F.nullif(F.greatest(F.lit(0.0), 1 - F.col("spearman_rho") * F.col("spearman_rho")), F.lit(0.0))
     t = F.col("spearman_rho") * F.sqrt(F.try_divide(F.col("overlap_count") - 2, spread))
-    return out.withColumn("t_statistic", t)
+    out = out.withColumn("t_statistic", t)
+    exact = F.when(F.abs("spearman_rho") >= 1, 0.0)  # a perfect agreement has no finite t
+    return out.withColumn("p_value", F.coalesce(exact, two_sided_p(F.col("t_statistic"), F.col("overlap_count") - 2)))
+
+
+def two_sided_p(t: Column, freedom: Column) -> Column:
+    """Two-sided p-value of Student's t for whole degrees of freedom: a finite sum of powers of the cosine of
+    atan(t / sqrt(freedom)), in built-in functions."""
+    n = freedom.cast("double")
+    angle = F.atan(F.abs(t) / F.sqrt(n))
+    sine, square = F.sin(angle), F.cos(angle) * F.cos(angle)
+    odd = freedom % 2 == 1
+    # Terms after the first; each is the one before times (k - 1) / k for k = 2, 4, ... or 3, 5, ..., times cos**2.
+    steps = F.when(freedom >= 4, F.sequence(F.when(odd, 3).otherwise(2).cast("long"), freedom.cast("long") - 2, F.lit(2).cast("long")))
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(state: Column, k: Column) -> Column:
+        term = state["term"] * (k - 1) / k * square
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+    total = F.aggregate(F.coalesce(steps, F.array().cast("array<bigint>")), zero, add)["sum"]
+    inside = F.when(odd, 2 / F.lit(pi) * (angle + F.when(freedom > 1, sine * F.cos(angle) * total).otherwise(0.0))).otherwise(sine * total)
+    return F.when(freedom > 0, F.greatest(F.lit(0.0), 1 - inside))
 
 
 def sweep_summary(sweep: DataFrame, limit: float = STABLE_RHO) -> DataFrame:
@@ -167,8 +188,3 @@ def sweep_summary(sweep: DataFrame, limit: float = STABLE_RHO) -> DataFrame:
         F.count(F.lit(1)).alias("total_perturbations"),
         ((known > 0) & (known == stable)).alias("overall_stable"),
     ).withColumns({"most_sensitive_layer": edges.scalar()["low"], "most_robust_layer": edges.scalar()["high"]})
-
-
-def stability_class(rho, limit: float = STABLE_RHO):
-    """stable, unstable, or NULL when there is no correlation."""
-    return ladder([(rho >= limit, "stable"), (rho < limit, "unstable")], F.lit(None).cast("string"))

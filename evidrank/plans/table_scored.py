@@ -447,21 +447,6 @@ def recall_at_k(spark, sf):
     return K.recall_at_k(scored, positives, on="gene_id").withColumn("recall", r6("recall"))
 
 
-@query(
-    "validation_verdict",
-    f"""WITH {RANKED_SQL}, o AS (
-          SELECT (SELECT quantile_cont(percentile_rank, 0.5) >= 0.75 FROM ranked WHERE gene_id IN (SELECT gene_id FROM positives)) AS p,
-                 (SELECT quantile_cont(percentile_rank, 0.5) < 0.5 FROM ranked WHERE gene_id IN (SELECT gene_id FROM negatives)) AS n)
-        SELECT p AS positive_passed, n AS negative_passed, CAST(NULL AS BOOLEAN) AS sensitivity_stable,
-          CASE WHEN NOT p THEN 'failed' WHEN NOT n THEN 'specificity_issue' ELSE 'sensitivity_not_run' END AS status FROM o""",
-)
-def validation_verdict(spark, sf):
-    scored, positives, negatives = control_tables(spark, sf)
-    plus = K.control_summary(K.rank_controls(scored, positives, "gene_id"), positives, on="gene_id")
-    minus = K.control_summary(K.rank_controls(scored, negatives, "gene_id"), negatives, positive=False, on="gene_id")
-    return K.validation_verdict(plus, minus)
-
-
 # ---------------------------------------------------------------------------------------------------------------------
 # sweep
 
@@ -534,6 +519,26 @@ def sensitivity_summary(spark, sf):
     return row.withColumns({c: r6(c) for c in ("min_rho", "max_rho", "mean_rho")})
 
 
+@query(
+    "validation_verdict",
+    f"""WITH {RANKED_SQL}, o AS (
+          SELECT (SELECT quantile_cont(percentile_rank, 0.5) >= 0.75 FROM ranked WHERE gene_id IN (SELECT gene_id FROM positives)) AS p,
+                 (SELECT quantile_cont(percentile_rank, 0.5) < 0.5 FROM ranked WHERE gene_id IN (SELECT gene_id FROM negatives)) AS n)
+        SELECT p AS positive_passed, n AS negative_passed, s AS sensitivity_stable,
+          CASE WHEN NOT p THEN 'failed' WHEN NOT n THEN 'specificity_issue' WHEN NOT s THEN 'sensitivity_unstable' ELSE 'all_passed' END AS status
+        FROM o, (WITH {SWEEP_SQL} SELECT count(rho) > 0 AND count(rho) = count(*) FILTER (rho >= 0.85) AS s FROM sweep)""",
+)
+def validation_verdict(spark, sf):
+    scored, positives, negatives = control_tables(spark, sf)
+    both = positives.withColumn("side", F.lit("plus")).unionByName(negatives.withColumn("side", F.lit("minus")))
+    ranked = K.rank_controls(scored, both, "gene_id", keep=("source", "side"))
+    of = lambda side: ranked.where(F.col("side") == side).drop("side")
+    plus = K.control_summary(of("plus"), positives, on="gene_id")
+    minus = K.control_summary(of("minus"), negatives, positive=False, on="gene_id")
+    sweep = document_sweep(spark, sf).withColumn("spearman_rho", F.round("spearman_rho", 9))
+    return K.validation_verdict(plus, minus, S.sweep_summary(cut(sweep)))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # gates, stages and sources
 

@@ -359,3 +359,14 @@ def test_percent_rank_rows_match_window(spark):
     got = K.rank_controls(table, table.select("gene_symbol", F.lit("all").alias("source")))
     want = table.withColumn("p", F.percent_rank().over(W.orderBy("composite_score")))
     assert by_key(got, "gene_symbol", "percentile_rank") == pytest.approx(by_key(want, "gene_symbol", "p"))
+
+
+def test_two_sided_p_values(spark):
+    from evidrank.operators.sweep import two_sided_p
+
+    # From tables of Student's distribution: critical values for 0.05 and 0.01, and t = 0.
+    known = [(12.706, 1, 0.05), (4.303, 2, 0.05), (3.182, 3, 0.05), (2.776, 4, 0.05), (2.228, 10, 0.05), (-2.042, 30, 0.05)]
+    known += [(63.657, 1, 0.01), (3.169, 10, 0.01), (2.626, 100, 0.01), (2.612, 125, 0.01), (0.0, 7, 1.0), (50.0, 98, 0.0)]
+    df = spark.createDataFrame(known, "t double, n long, p double")
+    for r in df.withColumn("got", two_sided_p(F.col("t"), F.col("n"))).collect():
+        assert r.got == pytest.approx(r.p, abs=2e-4)
