@@ -5,6 +5,9 @@ value over the text's shingles of ``width`` words; all functions run over blocks
 of characters other than ASCII white space, A-Z lower-cased; a text with fewer words is one shingle. The share of equal
 places estimates the Jaccard similarity of two shingle sets.
 
+``similar`` finds near-duplicates: signature bands joined, Jaccard verified. ``compare_with_next`` gives every document
+its fingerprint and compares it with an edited text and with the next document.
+
 NULL texts count as empty. Empty texts share one fingerprint and are alike. A NULL doc_id sorts first. Rows that repeat
 a doc_id are ordered by text. Other columns are ignored; an empty table has no rows.
 """
@@ -22,9 +25,12 @@ from pyspark.sql import functions as F
 
 from evidrank.functions import ranks
 from evidrank.functions.joins import spread_width
-from evidrank.llm.common import whole_text
+from evidrank.llm.common import append, settled, whole_text
+from evidrank.llm.simhash import components
 
-PERMUTATIONS, WIDTH = 128, 5
+PERMUTATIONS, WIDTH, SIMILARITY = 128, 5, 0.8
+#: Two texts of similarity 0.8 share one of the bands with a chance of 0.998.
+BANDS, ROWS = 21, 6
 _BLOCK = 512
 _EMPTY = np.full(PERMUTATIONS, 0xFFFF, np.uint16)
 
@@ -185,3 +191,53 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 made = []
 
     return with_next(docs).mapInArrow(run, _COMPARED_SQL)
+
+
+# -- near-duplicates -----------------------------------------------------------------------------------------------
+
+
+def band_keys(sig: np.ndarray) -> list[int]:
+    """One 64-bit key per band of the signature, signed."""
+    return [xxhash.xxh64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (smallest doc_id linked to it over any number of links) and n_links (other texts it links to).
+
+    Texts that agree in a whole band of their signatures meet in a join; the Jaccard similarity of their true shingle
+    sets decides. Copies meet once, through the hash of their text, and are not expanded. Every link between different
+    texts that a band proposes is verified and counted, so the work grows with the number of true links: for classes of
+    very many different texts use the SimHash operator, whose fingerprints collapse first.
+    """
+    text = whole_text()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_text_key"), text.alias("text"))
+    narrow = settled(rows.select("doc_id", "_text_key"))
+    plain = rows.select(F.col("_text_key").alias("text_key"), "text")
+
+    def banded(texts: list[str]) -> list[pa.Array]:
+        return [pa.array([band_keys(signature(t)) for t in texts], pa.list_(pa.int64()))]
+
+    def listed(texts: list[str]) -> list[pa.Array]:
+        sets = [np.unique(shingles(word_hashes(t))).view(np.int64) for t in texts]
+        return [pa.array(sets, pa.list_(pa.int64()))]
+
+    bands = append(plain, banded, {"bands": "array<long>"}).select("text_key", F.explode("bands").alias("band"))
+    bands = settled(bands.distinct())
+    other = bands.select("band", F.col("text_key").alias("other_key"))
+    pairs = settled(bands.join(other, "band").where("text_key < other_key").select("text_key", "other_key").distinct())
+    asked = pairs.select(F.explode(F.array("text_key", "other_key")).alias("text_key")).distinct()
+    sets = append(plain.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"]), listed, {"grams": "array<long>"})
+    sets = settled(sets.select("text_key", "grams"))
+    of_other = sets.select(F.col("text_key").alias("other_key"), F.col("grams").alias("other_grams"))
+    met = pairs.join(sets, "text_key").join(of_other, "other_key")
+    shared = F.size(F.array_intersect("grams", "other_grams"))
+    true = shared >= F.lit(least) * (F.size("grams") + F.size("other_grams") - shared)
+    links = settled(met.where(true).select(F.col("text_key").alias("a"), F.col("other_key").alias("b")))
+    counts = links.select(F.explode(F.array("a", "b")).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("n_links"))
+    roots = components(links)
+    known = counts.join(roots, F.col("_key") == F.col("node")).select("_key", "n_links", "root")
+    joined = narrow.join(settled(known), F.col("_text_key") == F.col("_key"), "left")
+    joined = joined.select("doc_id", F.coalesce("root", "_text_key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    joined = settled(joined)
+    classes = settled(joined.groupBy("root").agg(F.min("doc_id").alias("class_id")))
+    return joined.join(classes, "root").select("doc_id", "class_id", "n_links")

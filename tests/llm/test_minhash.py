@@ -62,3 +62,38 @@ def test_letters_and_spaces():
     assert not (minhash.signature("Ä b c d e f") == minhash.signature("ä b c d e f")).all()
     assert minhash.likeness(minhash.signature(""), minhash.signature(" \n")) == 1.0
     assert minhash.likeness(minhash.signature(""), minhash.signature("a")) < 0.1
+
+
+def test_similar_texts_against_every_pair(spark):
+    pick = random.Random(11)
+    made = list(rows())
+    for k in range(40):
+        words = prose(f"c{k % 6}", 150).split()
+        for _ in range(pick.randrange(0, 8)):
+            words[pick.randrange(len(words))] = pick.choice(["omega", "psi", "chi"])
+        made.append((500 + k, " ".join(words), "en", "a", 0))
+    texts = {}
+    for i, t, *_ in made:
+        texts.setdefault(t or "", []).append(i)
+    keys = sorted(texts)
+    sets = {t: frozenset(minhash.shingles(minhash.word_hashes(t)).tolist()) for t in keys}
+    links, root = {t: 0 for t in keys}, {t: t for t in keys}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    for n, a in enumerate(keys):
+        for b in keys[:n]:
+            if (sets[a] or sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or not (sets[a] or sets[b]):
+                links[a] += 1
+                links[b] += 1
+                root[find(a)] = find(b)
+    classes = {}
+    for t in keys:
+        classes.setdefault(find(t), []).extend(i for i in texts[t] if i is not None)
+    want = sorted(((i, min(classes[find(t)], default=None), links[t]) for t in keys for i in texts[t]), key=str)
+    assert max(links.values()) >= 3
+    assert plain(minhash.similar(with_clashes(docs(spark, made)))) == want
+    assert minhash.similar(docs(spark, [])).count() == 0
