@@ -144,6 +144,21 @@ def recall_at_k(
     )
 
 
+def extended_controls(
+    scored: DataFrame, controls: DataFrame, ks: Sequence[int] = RECALL_KS, on: str = "gene_symbol", threshold: float | None = None
+) -> DataFrame:
+    """Summary, recall at every cut-off and placement per source of a positive control set: ``section, name, value``."""
+    ranked = rank_controls(scored, controls, on)
+    summary = control_summary(ranked, controls, threshold=threshold, on=on)
+    numbers = ["total_expected", "total_in_dataset", "median_percentile", "top_quartile_count", "top_quartile_fraction", "high_score_count"]
+    cast = [F.col(c).cast("double").alias(c) for c in numbers]
+    rows = summary.select(*cast).unpivot([], numbers, "name", "value").select(F.lit("summary").alias("section"), "name", "value")
+    recall = recall_at_k(scored, controls, ks, on=on).select(F.lit("recall").alias("section"), F.col("threshold").alias("name"), F.col("recall").alias("value"))
+    sources = control_by_source(ranked, controls)
+    placed = sources.select(F.lit("source").alias("section"), F.col("source").alias("name"), F.col("median_percentile").alias("value"))
+    return rows.unionByName(recall).unionByName(placed)
+
+
 def verdict_of(positive: Column, negative: Column, stable: Column) -> Column:
     """Overall status from three outcomes; a sweep that was not run (NULL) leaves the status unknown."""
     return ladder(

@@ -646,6 +646,36 @@ def ortholog_mapping(spark, sf):
     return O.ortholog_mapping(ids, supplier_support(parts, False, "mouse"), supplier_support(parts, True, "zebrafish"))
 
 
+@query(
+    "ortholog_support",
+    """WITH s AS (SELECT l_partkey, 'S' || l_suppkey AS c, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL)
+       SELECT CAST(l_partkey AS VARCHAR) AS gene_id, c AS mouse_ortholog,
+         CASE WHEN n >= 8 THEN 'HIGH' WHEN n >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS mouse_ortholog_confidence
+       FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, c) AS i FROM s) WHERE i = 1""",
+)
+def ortholog_support(spark, sf):
+    """Support as a comma-separated list: the line numbers under which a supplier delivered a part (seven at most)."""
+    raw = table(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.collect_set("l_linenumber").alias("lines"))
+    raw = raw.select(
+        F.col("l_partkey").cast("string").alias("human_ensembl_gene"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("mouse_symbol"),
+        F.array_join(F.sort_array("lines").cast("array<string>"), ",").alias("support"),
+    )
+    return O.ortholog_table(raw, "mouse_symbol", "mouse")
+
+
+@query("fuzzy_headers", "SELECT DISTINCT p_brand AS mouse_gene, p_type AS mp_term_id, p_name AS mp_term_name FROM part")
+def fuzzy_headers(spark, sf):
+    """A report whose columns are found by words of their names."""
+    raw = table(spark, sf, "part").select(
+        F.col("p_size").alias("Rank"),
+        F.col("p_brand").alias("MGI Marker Symbol (latest)"),
+        F.col("p_type").alias("High-level Mammalian Phenotype ID"),
+        F.col("p_name").alias("term"),
+    )
+    return O.marker_phenotypes(raw, "term")
+
+
 @query("keyword_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'ring|old|gizmo')")
 def keyword_filter(spark, sf):
     return O.keyword_filter(table(spark, sf, "part").select("p_partkey", "p_name"), KEYWORDS, "p_name")

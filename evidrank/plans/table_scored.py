@@ -21,9 +21,10 @@ from evidrank.operators import entities as E
 from evidrank.operators import quality as Q
 from evidrank.operators import report as P
 from evidrank.operators import sweep as S
+from evidrank.plans.evidence_run import SCORED, UNIVERSE, EvidenceRun
 from evidrank.plans.registry import query, r6, table
 from evidrank.plans.table_text import CONTEXTS, _word_sql
-from evidrank.sources import delimited, schema
+from evidrank.sources import delimited, records, schema
 from evidrank.sources.stages import StageStore, cut, scratch_folder, write_id_list
 
 WEIGHTS = {"length": 0.20, "quality": 0.20, "safety": 0.15, "topic": 0.15, "talk": 0.15, "markup": 0.15}
@@ -519,6 +520,82 @@ def sensitivity_summary(spark, sf):
     return row.withColumns({c: r6(c) for c in ("min_rho", "max_rho", "mean_rho")})
 
 
+@query(
+    "extended_controls",
+    f"""WITH {RANKED_SQL}, u AS (SELECT DISTINCT gene_id FROM positives),
+        hit AS (SELECT DISTINCT gene_id, composite_score, percentile_rank FROM ranked JOIN positives USING (gene_id)),
+        s AS (SELECT (SELECT count(*) FROM u) AS total_expected, count(*) AS total_in_dataset, quantile_cont(percentile_rank, 0.5) AS median_percentile,
+            count(*) FILTER (percentile_rank >= 0.75) AS top_quartile_count, count(*) FILTER (composite_score >= 0.7) AS high_score_count FROM hit),
+        cuts AS ({" UNION ALL ".join(f"SELECT '{name}' AS threshold, CAST({k} AS BIGINT) AS k" for name, k in _CUTS)})
+        SELECT 'summary' AS section, name, round(value, 6) AS value FROM (
+          SELECT 'total_expected' AS name, CAST(total_expected AS DOUBLE) AS value FROM s
+          UNION ALL SELECT 'total_in_dataset', total_in_dataset FROM s UNION ALL SELECT 'median_percentile', median_percentile FROM s
+          UNION ALL SELECT 'top_quartile_count', top_quartile_count FROM s
+          UNION ALL SELECT 'top_quartile_fraction', top_quartile_count / total_in_dataset FROM s
+          UNION ALL SELECT 'high_score_count', high_score_count FROM s)
+        UNION ALL SELECT 'recall', threshold, round(count(position) / (SELECT count(*) FROM u), 6)
+          FROM cuts LEFT JOIN (SELECT position FROM ranked JOIN u USING (gene_id)) ON position <= k GROUP BY threshold, k
+        UNION ALL SELECT 'source', source, round(quantile_cont(percentile_rank, 0.5), 6) FROM ranked JOIN positives USING (gene_id) GROUP BY source""",
+)
+def extended_controls(spark, sf):
+    scored, positives, _ = control_tables(spark, sf)
+    return K.extended_controls(scored, positives, on="gene_id").withColumn("value", r6("value"))
+
+
+def document_run(spark: SparkSession, sf: str) -> EvidenceRun:
+    """A run over the document layers, all of it in a store of its own: universe, layers, scores."""
+    universe, layers = document_layers(spark, sf)
+    run = EvidenceRun(fresh_store(spark), {n: (f"layer_{n}", column) for n, (_, column) in layers.items()})
+    run.store.save(universe, UNIVERSE, "documents")
+    for name, (layer, _) in layers.items():
+        run.layer(f"layer_{name}", lambda layer=layer: layer)
+    run.score(WEIGHTS)
+    return run
+
+
+@query(
+    "persisted_scores",
+    f"""WITH {COMPOSITE_SQL} SELECT quality_flag, count(*) AS n, count(composite_score) AS with_score,
+        round(sum(composite_score), 4) AS total FROM scored GROUP BY quality_flag""",
+)
+def persisted_scores(spark, sf):
+    """Scores written to the store by a run, read back."""
+    kept = document_run(spark, sf).store.load(SCORED).groupBy("quality_flag")
+    total = F.round(F.sum("composite_score"), 4).alias("total")
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.count("composite_score").alias("with_score"), total)
+
+
+@query(
+    "run_summary",
+    f"""WITH {TIERS_SQL} SELECT 'tier' AS section, confidence_tier AS name, CAST(NULL AS BIGINT) AS input_count, count(*) AS output_count
+          FROM tiered GROUP BY confidence_tier
+        UNION ALL SELECT 'step', 'score', (SELECT count(*) FROM documents), (SELECT count(*) FROM scored)
+        UNION ALL SELECT 'step', 'quality', (SELECT count(*) FROM scored), (SELECT count(*) FROM scored)
+        UNION ALL SELECT 'step', 'report', (SELECT count(*) FROM scored), (SELECT count(*) FROM tiered)""",
+)
+def run_summary(spark, sf):
+    """Steps and tiers of a run's summary, the loading of the layers left out."""
+    run = document_run(spark, sf)
+    run.report(f"{scratch_folder(spark)}/evidrank-sinks/{uuid.uuid4().hex}")
+    rows = run.summary(WEIGHTS).where(F.col("section").isin("tier", "step") & ~F.col("name").startswith("load_"))
+    return rows.select("section", "name", "input_count", "output_count")
+
+
+@query(
+    "relaxed_concat",
+    """SELECT o_custkey AS id, CAST(o_totalprice AS DOUBLE) AS amount, CAST(NULL AS VARCHAR) AS name FROM orders
+       UNION SELECT c_custkey, c_acctbal, c_name FROM customer UNION SELECT s_suppkey, NULL, s_name FROM supplier""",
+)
+def relaxed_concat(spark, sf):
+    """Sources with other types and missing columns, cast to one schema, united, repeated rows dropped."""
+    parts = [
+        table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("id"), F.col("o_totalprice").cast("double").cast("string").alias("amount")),
+        table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("amount"), F.col("c_name").alias("name")),
+        table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"), F.lit("n/a").alias("amount")),
+    ]
+    return records.union_conformed(parts, _struct("id bigint, amount double, name string"))
+
+
 @query(
     "validation_verdict",
     f"""WITH {RANKED_SQL}, o AS (
