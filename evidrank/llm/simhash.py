@@ -215,22 +215,36 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return index.join(probe, on).select("a", "b").distinct()
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """node, root: the end of the chain of parents, by pointer jumping. Parents are smaller than their nodes."""
+    while True:
+        up = parents.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        jumped = parents.join(up, "root", "left").select("node", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
+        jumped = settled(jumped)
+        parents = jumped.select("node", "root")
+        if jumped.where("moved").isEmpty():
+            return parents
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable over the links. Rounds of neighbour minima and pointer jumping.
+    """node, root: the smallest node reachable over the links, for every node that has one.
 
-    Each round is a table in the shared folder, so no lineage grows and a lost executor costs one round at most.
+    Each round hooks every node onto its smallest neighbour, follows the hooks to their ends and contracts the graph:
+    links now run between ends, and those within one end vanish, so dense groups shrink in the first round. Rounds are
+    tables in the shared folder: no lineage grows, and a lost executor costs one round at most.
     """
-    pairs = settled(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = settled(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
-    while True:
-        near = pairs.join(labels, pairs["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        lower = settled(lower)
-        jump = lower.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        labels = settled(lower.join(jump, "root").select("node", F.col("far").alias("root"), "was"))
-        if labels.where("root != was").isEmpty():
-            return labels.select("node", "root")
-        labels = labels.select("node", "root")
+    edges = settled(pairs.select("a", "b"))
+    both = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = settled(both.select("node", F.col("node").alias("root")))
+    while not edges.isEmpty():
+        # Links run from the smaller node a to the larger b: the least a is the least neighbour of b.
+        ends = _roots(settled(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))))
+        of = lambda c: ends.select(F.col("node").alias(c), F.col("root").alias(f"{c}_end"))
+        moved = edges.join(of("b"), "b").join(of("a"), "a", "left").select(F.coalesce("a_end", "a").alias("x"), F.col("b_end").alias("y"))
+        moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        edges = settled(moved.distinct())
+        labels = settled(labels.join(of("root"), "root", "left").select("node", F.coalesce("root_end", "root").alias("root")))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
