@@ -20,6 +20,7 @@ they occur. A text longer than a block makes a longer block. Other columns are i
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from evidrank.llm.common import whole_text
 
-#: Words kept in a worker's memory, about 150 bytes each.
-_MEMORY = 600_000
+#: Chunks in each of the two generations a worker remembers, about 200 bytes each.
+_MEMORY = 500_000
 _LOCAL_BITS = 40
 
 
@@ -50,14 +51,23 @@ class Packing:
     stretch: int = 256
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(hidden)}
+
+
 class _Encoder(dict):
     """Ids of text as little-endian 32-bit bytes, by white-space chunks: no token of this tokenizer spans white space.
 
     The normaliser and the splitting pattern act inside a chunk only, so a chunk's ids do not depend on its context and
-    are remembered. Letters of ASCII go straight to the merges; other chunks run the whole tokenizer.
+    are remembered. A full memory becomes the older generation; what is met again moves to the younger one. Words of
+    Latin letters, which normalise to themselves in lower case and are one piece each, go straight to the merges; other
+    chunks run the whole tokenizer.
     """
 
-    _plain = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
     #: str.split() splits at these, the tokenizer does not.
     _odd = re.compile("[\x1c-\x1f]")
 
@@ -65,8 +75,10 @@ class _Encoder(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.older: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.merges = self.whole.model.tokenize
+        self.letters = _byte_letters()
         ends = [i for t, i in self.whole.get_vocab().items() if re.search(r"[.!?](</w>)?$", t)]
         self.is_end = np.zeros(max(self.whole.get_vocab().values()) + 2, bool)
         self.is_end[ends] = True
@@ -74,14 +86,23 @@ class _Encoder(dict):
     def _ids(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        word = word.lower()
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.merges(word)]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
+        made = self.older.get(chunk)
+        if made is None:
+            if plain := self._plain.fullmatch(chunk):
+                word, marks = plain.groups()
+                made = self._word(word) + (self[marks] if marks else b"")
+            else:
+                made = self._ids(chunk)
         if len(self) >= _MEMORY:
+            self.older = dict(self)
             self.clear()
-        if plain := self._plain.fullmatch(chunk):
-            ids = [t.id for part in plain.groups() if part for t in self.merges(part.lower())]
-            made = np.array(ids, "<u4").tobytes()
-        else:
-            made = self._ids(chunk)
         self[chunk] = made
         return made
 
