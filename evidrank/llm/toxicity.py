@@ -49,7 +49,7 @@ class _Words(dict):
     """Hash of a word without the marks around it; forgets all when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.strip(_MARKS).encode())
         return value
@@ -101,7 +101,10 @@ def _fit(rows: list[tuple[np.ndarray, int]], p: Ftrl) -> np.ndarray:
             step = (np.sqrt(n[at] + gradient * gradient) - np.sqrt(n[at])) / p.alpha
             z[at] += gradient - step * w
             n[at] += gradient * gradient
-    return weights(np.arange(size + 1))
+    out = np.zeros(size + 1)
+    met = np.flatnonzero(n)
+    out[met] = weights(met)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> DataFrame:
@@ -119,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> DataFrame:
         rows = []
         for part in batches:
             ids, toxic, at = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)
-            rows += [(xxhash.xxh64_intdigest(str(i)), np.append(at[k].values.to_numpy(), size), y) for k, (i, y) in enumerate(zip(ids, toxic))]
+            rows += [(xxhash.xxh64_intdigest(str(i)), np.append(at[k].values.to_numpy(), np.int32(size)), y) for k, (i, y) in enumerate(zip(ids, toxic))]
         if rows:
             rows.sort(key=lambda r: (r[0], len(r[1])))  # the order of arrival may differ when a task is retried
             w = _fit([r[1:] for r in rows], params)
