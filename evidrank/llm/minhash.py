@@ -29,8 +29,10 @@ from evidrank.llm.common import append, settled, whole_text
 from evidrank.llm.simhash import components
 
 PERMUTATIONS, WIDTH, SIMILARITY = 128, 5, 0.8
-#: Two texts of similarity 0.8 share one of the bands with a chance of 0.998.
-BANDS, ROWS = 21, 6
+#: Two texts of similarity 0.8 share one of the bands with a chance of 0.99995.
+BANDS, ROWS = 25, 5
+#: Rounds in which the texts of a band meet representatives, before all that are still apart meet.
+STAR_ROUNDS = 3
 _BLOCK = 512
 _EMPTY = np.full(PERMUTATIONS, 0xFFFF, np.uint16)
 
@@ -201,6 +203,87 @@ def band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def _banded(plain: DataFrame) -> DataFrame:
+    """text_key, n (size of the shingle set) and band: a row per band of every different text of (text_key, text)."""
+
+    def banded(texts: list[str]) -> list[pa.Array]:
+        keys, sizes = [], []
+        for t in texts:
+            hashes = shingles(word_hashes(t))
+            keys.append(band_keys(_signature(_lowest(hashes), not len(hashes))))
+            sizes.append(len(np.unique(hashes)))
+        return [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+
+    rows = append(plain, banded, {"bands": "array<long>", "n": "long"})
+    return rows.select("text_key", "n", F.explode("bands").alias("band")).distinct()
+
+
+def _sets(plain: DataFrame, asked: DataFrame) -> DataFrame:
+    """text_key and grams, the shingle set, of the texts in ``asked``."""
+
+    def listed(texts: list[str]) -> list[pa.Array]:
+        sets = [np.unique(shingles(word_hashes(t))).view(np.int64) for t in texts]
+        return [pa.array(sets, pa.list_(pa.int64()))]
+
+    once = plain.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
+    return settled(append(once, listed, {"grams": "array<long>"}).select("text_key", "grams"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of text keys whose shingle sets are as similar as ``least``."""
+    of = lambda c: sets.select(F.col("text_key").alias(c), F.col("grams").alias(f"{c}_grams"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    shared = F.size(F.array_intersect("a_grams", "b_grams"))
+    true = shared >= F.lit(least) * (F.size("a_grams") + F.size("b_grams") - shared)
+    return settled(met.where(true).select("a", "b"))
+
+
+def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_key and component_key of every row: texts linked by a Jaccard similarity of ``least`` or more, over
+    any number of links, share a component.
+
+    Links are looked for only between texts that share a band and are not in one component yet. In the first rounds
+    the texts of a band meet one representative, the text with the most neighbours in all its bands, so a group of
+    near copies costs a pair per text and not per two texts; then all that share a band and are still apart meet.
+    No pair is left out: one that is never compared is in one component already.
+    """
+    text = whole_text()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    narrow, plain = rows.select("doc_id", "text_key"), rows.select("text_key", "text")
+    bands = settled(_banded(plain))
+    crowds = bands.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    bands = settled(bands.join(crowds, "band"))
+    degrees = bands.groupBy("text_key").agg(F.sum("crowd").alias("degree"))
+    bands = settled(bands.drop("crowd").join(degrees, "text_key"))
+    sets = _sets(plain, bands.select("text_key").distinct())
+    labels = bands.select(F.col("text_key").alias("node"), F.col("text_key").alias("root")).limit(0)
+    links = None
+    for turn in range(STAR_ROUNDS + 1):
+        here = bands.join(labels, F.col("text_key") == F.col("node"), "left")
+        here = here.select("band", "text_key", "n", "degree", F.coalesce("root", "text_key").alias("label"))
+        apart = here.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        here = settled(here.join(apart.select("band"), "band"))
+        if here.isEmpty():
+            break
+        if turn < STAR_ROUNDS:
+            # Another representative each round: of each band one whose component has not led it, if there is any.
+            led = F.max(F.struct("degree", "text_key", "n", "label")).alias("lead")
+            lead = here.groupBy("band").agg(led).select("band", F.col("lead.text_key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.label").alias("of"))
+        else:
+            lead = here.select("band", F.col("text_key").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
+        alike = (F.col("n") >= F.lit(least) * F.col("m")) & (F.col("m") >= F.lit(least) * F.col("n"))  # else never similar
+        met = here.join(lead, "band").where((F.col("label") != F.col("of")) & alike)
+        pairs = settled(met.select(F.least("text_key", "other").alias("a"), F.greatest("text_key", "other").alias("b")).distinct())
+        found = _verified(pairs, sets, least)
+        links = found if links is None else settled(links.unionByName(found))
+        labels = settled(components(links))
+        if turn < STAR_ROUNDS:
+            used = lead.select("band", F.col("other").alias("text_key"))
+            bands = settled(bands.join(used.withColumn("_used", F.lit(True)), ["band", "text_key"], "left").withColumn("degree", F.when(F.col("_used"), -1).otherwise(F.col("degree"))).drop("_used"))
+    known = narrow.join(labels, F.col("text_key") == F.col("node"), "left")
+    return known.select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component_key"))
+
+
 def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id linked to it over any number of links) and n_links (other texts it links to).
 
@@ -213,26 +296,11 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_text_key"), text.alias("text"))
     narrow = settled(rows.select("doc_id", "_text_key"))
     plain = rows.select(F.col("_text_key").alias("text_key"), "text")
-
-    def banded(texts: list[str]) -> list[pa.Array]:
-        return [pa.array([band_keys(signature(t)) for t in texts], pa.list_(pa.int64()))]
-
-    def listed(texts: list[str]) -> list[pa.Array]:
-        sets = [np.unique(shingles(word_hashes(t))).view(np.int64) for t in texts]
-        return [pa.array(sets, pa.list_(pa.int64()))]
-
-    bands = append(plain, banded, {"bands": "array<long>"}).select("text_key", F.explode("bands").alias("band"))
-    bands = settled(bands.distinct())
+    bands = settled(_banded(plain).select("text_key", "band"))
     other = bands.select("band", F.col("text_key").alias("other_key"))
     pairs = settled(bands.join(other, "band").where("text_key < other_key").select("text_key", "other_key").distinct())
     asked = pairs.select(F.explode(F.array("text_key", "other_key")).alias("text_key")).distinct()
-    sets = append(plain.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"]), listed, {"grams": "array<long>"})
-    sets = settled(sets.select("text_key", "grams"))
-    of_other = sets.select(F.col("text_key").alias("other_key"), F.col("grams").alias("other_grams"))
-    met = pairs.join(sets, "text_key").join(of_other, "other_key")
-    shared = F.size(F.array_intersect("grams", "other_grams"))
-    true = shared >= F.lit(least) * (F.size("grams") + F.size("other_grams") - shared)
-    links = settled(met.where(true).select(F.col("text_key").alias("a"), F.col("other_key").alias("b")))
+    links = _verified(pairs.toDF("a", "b"), _sets(plain, asked), least)
     counts = links.select(F.explode(F.array("a", "b")).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links)
     known = counts.join(roots, F.col("_key") == F.col("node")).select("_key", "n_links", "root")

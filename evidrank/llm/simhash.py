@@ -261,7 +261,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 def keep_first(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``docs``, one per component: of its smallest doc_id the row whose text has the smallest hash."""
-    known = near_duplicates(docs.select("doc_id", "text"), width, distance)
+    return first_of_each(docs, near_duplicates(docs.select("doc_id", "text"), width, distance))
+
+
+def first_of_each(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their component; ``known`` has doc_id, text_key and component_key."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")).alias("first")
     kept = settled(known.groupBy("component_key").agg(first).select("first.doc_id", "first.text_key").distinct())
     names = docs.columns

@@ -1,6 +1,7 @@
 """The pipeline against stages worked by hand, on tables small enough for that."""
 
 import os
+import random
 import re
 from collections import Counter
 
@@ -80,3 +81,21 @@ def test_empty_documents(spark, folder, tmp_path):
 
 def test_names_of_the_queries():
     assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+
+
+def test_edited_copies_are_dropped(spark):
+    """Copies with scattered edits whose Jaccard similarity over five words is 0.8 or more; others stay."""
+    words = [f"w{k}" for k in range(400)]
+    made, near, apart = [], [], []
+    for k in range(40):
+        base = random.Random(k).choices(words, k=180)
+        for n, ids in ((1, near), (3, near), (12, apart)):
+            copy = list(base)
+            for e in range(n):
+                copy[7 + e * 14] = f"new{k}x{e}"
+            i = 1000 * n + k
+            made.append((i, " ".join(copy), "en", "a", 0))
+            ids.append(i)
+        made.append((k, " ".join(base), "en", "a", 0))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(spark, made), "").collect()}
+    assert kept == set(range(40)) | set(apart)
