@@ -34,7 +34,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth(?:orization)?|bearer|api[ _-]?key|access[ _-]?key|"
     r"private[ _-]?key|signing[ _-]?key|client[ _-]?id|session[ _-]?id|signature|conn(?:ection)?[ _-]?str(?:ing)?)"
-    r"(?![a-z])[^\n]{0,24}?(?<![A-Za-z0-9+/_=~.-])([A-Za-z0-9+/_=~.-]{12,200})",
+    r"(?![a-z])[^\n]{0,24}?(?<![A-Za-z0-9+/_=~.-])([A-Za-z0-9+/_=~.-]{12,})",
     re.I | re.A,
 )
 #: Identifiers and phrases that are common in code and configuration; plain words are not secrets.

@@ -68,3 +68,14 @@ def test_empty_table_and_repeats(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
     twice = docs(spark, [(1, TEXTS[0], "en", "a", 0)] * 2)
     assert len(set(plain(secret_scan.scan(twice)))) == 1
+
+
+def novel(text):
+    return [text[a:b] for k, a, b in secret_scan.spans_of(text) if k == "novel"]
+
+
+def test_long_tokens_are_taken_whole():
+    token = "".join(random.Random(5).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=700))
+    text = f"Authorization: Bearer {token}\nend"
+    assert novel(text) == [token]
+    assert secret_scan.masked(text, secret_scan.spans_of(text)) == "Authorization: Bearer [SECRET]\nend"
