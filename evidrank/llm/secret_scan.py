@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -31,12 +34,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
+#: Sensitive words, plurals and camel case too (``credentials``, ``secretKey``); a small letter after one makes another word.
 _CONTEXT = re.compile(
-    r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|auth(?:orization)?|bearer|api[ _-]?key|access[ _-]?key|"
+    r"(?:pass(?:word|wd|phrase)?|pwd|secret(?:[ _-]?key)?|token|credential|auth(?:orization)?|bearer|api[ _-]?key|access[ _-]?key|"
     r"private[ _-]?key|signing[ _-]?key|client[ _-]?id|session[ _-]?id|signature|conn(?:ection)?[ _-]?str(?:ing)?)"
-    r"(?![a-z])[^\n]{0,24}?(?<![A-Za-z0-9+/_=~.-])([A-Za-z0-9+/_=~.-]{12,})",
+    r"s?(?-i:(?![a-z]))",
     re.I | re.A,
 )
+#: A whole run of key-like characters, without a name and an equals sign before it.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_~.-])(?:[A-Za-z_.-]+=(?=[A-Za-z0-9+/_~.-]))?+([A-Za-z0-9+/_~.-][A-Za-z0-9+/_=~.-]{11,})")
 #: Identifiers and phrases that are common in code and configuration; plain words are not secrets.
 IDENTIFIERS = (
     "password username user_name api_key apikey access_key secret_key client_id client_secret session_id private_key "
@@ -55,6 +61,10 @@ class Novelty:
     around: int = 256
     least_bytes: float = 9.0
     least_ratio: float = 0.7
+    #: For letters of both cases without a digit, and for tokens of one kind: names and words lie closer to random strings.
+    least_case_ratio: float = 0.96
+    least_plain_ratio: float = 1.07
+    least_plain_bytes: float = 14.0
     dictionary: bytes = IDENTIFIERS
 
 
@@ -71,10 +81,21 @@ def marginal_bytes(token: str, before: str, after: str, p: Novelty = Novelty())
     return len(squeeze(context + token.encode("utf-8", "replace"))) - len(squeeze(context))
 
 
-def _looks_random(token: str) -> bool:
-    """At least two of lower case, upper case, digits; words and paths are left to the compressor."""
-    kinds = any(c.islower() for c in token) + any(c.isupper() for c in token) + any(c.isdigit() for c in token)
-    return kinds >= 2 and any(c.isdigit() for c in token)
+def _least(token: str, p: Novelty) -> float:
+    """Marginal bytes from which a token counts as random."""
+    lower, upper, digit = (any(map(kind, token)) for kind in (str.islower, str.isupper, str.isdigit))
+    if digit and (lower or upper):
+        return max(p.least_bytes, p.least_ratio * len(token) * 0.75)
+    return max(p.least_plain_bytes, (p.least_case_ratio if lower and upper else p.least_plain_ratio) * len(token) * 0.75)
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Every token of a line that follows a sensitive word in it."""
+    at = 0
+    while word := _CONTEXT.search(text, at):
+        end = text.find("\n", word.end())
+        at = len(text) if end < 0 else end
+        yield from (m.span(1) for m in _TOKEN.finditer(text, word.end(), at))
 
 
 def spans_of(text: str, p: Novelty = Novelty()) -> list[tuple[str, int, int]]:
@@ -83,14 +104,14 @@ def spans_of(text: str, p: Novelty = Novelty()) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     taken = sorted((a, b) for _, a, b in found)
-    for m in _CONTEXT.finditer(text):
-        a, b = m.span(1)
-        token = m[1].rstrip(".=-")
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    for a, b in candidates(text):
+        token = text[a:b].rstrip(".=-")
         b = a + len(token)
-        if b - a < 12 or not _looks_random(token) or any(x < b and a < y for x, y in taken):
+        before = bisect_left(starts, b)
+        if b - a < 12 or before and ends[before - 1] > a:
             continue
-        added = marginal_bytes(token, text[max(0, a - p.around) : a], text[b : b + p.around], p)
-        if added >= p.least_bytes and added >= p.least_ratio * len(token) * 0.75:
+        if marginal_bytes(token, text[max(0, a - p.around) : a], text[b : b + p.around], p) >= _least(token, p):
             found.append(("novel", a, b))
     return sorted(found, key=lambda s: (s[1], _ORDER[s[0]]))
 

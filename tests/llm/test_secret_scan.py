@@ -79,3 +79,12 @@ def test_long_tokens_are_taken_whole():
     text = f"Authorization: Bearer {token}\nend"
     assert novel(text) == [token]
     assert secret_scan.masked(text, secret_scan.spans_of(text)) == "Authorization: Bearer [SECRET]\nend"
+
+
+def test_every_token_after_a_sensitive_word_is_measured():
+    letters = "".join(random.Random(6).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=32))
+    assert novel(f"the password for production-database is {KEY}") == [KEY]
+    assert novel(f"the password of the service that runs the nightly export of all tables is {KEY} or {letters}") == [KEY, letters]
+    for word in ("credentials: ", "two tokens ", "secretKey: ", "secretKey=", "API keys "):
+        assert novel(word + KEY) == [KEY] and novel(word + letters) == [letters]
+    assert novel(f"tokenized {KEY}") == [] and novel(f"a token\n{KEY}") == []
