@@ -4,7 +4,7 @@ Features of a text are the distinct hashed words, word pairs and pairs with one
 lower-cased. Each feature counts once per text, so a long text does not dilute a short insult.
 
 Training takes a bounded sample of the labelled rows: of each class the ``max_rows`` / 2 rows with the smallest hash of
-their id. Features are computed where the texts are; only coordinates of the sample go to the one task that runs
+their id; the intercept is shifted by what that changes in the odds of the classes. Features are computed where the texts are; only coordinates of the sample go to the one task that runs
 FTRL-proximal (per-coordinate rates, L1) over a few epochs. L1 leaves few of the 2**``bits`` coordinates non-zero, so
 the weights fit a broadcast whatever the corpus; scoring reads all rows.
 
@@ -15,6 +15,7 @@ intercept alone. A NULL doc_id is not held out. Without labelled rows every scor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,18 +74,35 @@ def is_held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """doc_id, toxic and text of the sample. Only its ids and labels are broadcast, at most ``max_rows`` rows."""
+def known_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labelled rows that may train and are among ``docs``."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     here = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    known = settled(known.join(here, "doc_id", "left_semi"))
+    return settled(known.join(here, "doc_id", "left_semi"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """doc_id, toxic and text of the sample. Only its ids and labels are broadcast, at most ``max_rows`` rows."""
+    return _sample(docs, known_rows(docs, labels), max_rows)
+
+
+def _sample(docs: DataFrame, known: DataFrame, max_rows: int) -> DataFrame:
     half = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows // 2) for c in ("toxic = 1", "toxic <> 1")]
     chosen = settled(half[0].unionByName(half[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text().alias("text"))
     return texts.join(F.broadcast(chosen), F.col("_id") == F.col("doc_id")).select("doc_id", "toxic", "text")
 
 
+def log_odds_shift(known: DataFrame, max_rows: int) -> float:
+    """What the intercept lacks because the classes are cut to the same number: log known over sampled toxic rows, less
+    the same of the clean ones."""
+    toxic = F.col("toxic") == 1
+    n = known.agg(F.count_if(toxic).alias("toxic"), F.count_if(~toxic).alias("clean")).first()
+    lost = lambda rows: math.log(max(1.0, rows / max(1, max_rows // 2)))
+    return lost(n["toxic"]) - lost(n["clean"])
+
+
 def _fit(rows: list[tuple[np.ndarray, int]], p: Ftrl) -> np.ndarray:
     """Weights after the epochs; the last coordinate is the intercept, which L1 and L2 leave alone."""
     size = 1 << p.bits
@@ -126,10 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> DataFrame:
         if rows:
             rows.sort(key=lambda r: (r[0], len(r[1])))  # the order of arrival may differ when a task is retried
             w = _fit([r[1:] for r in rows], params)
+            w[size] += shift
             at = np.flatnonzero(w)
             yield batch(schema, np.where(at == size, -1, at), w[at])
 
-    sample = training_rows(docs, labels, params.max_rows).mapInArrow(coordinates, "doc_id long, toxic int, at array<int>")
+    known = known_rows(docs, labels)
+    shift = log_odds_shift(known, params.max_rows)
+    sample = _sample(docs, known, params.max_rows).mapInArrow(coordinates, "doc_id long, toxic int, at array<int>")
     return settled(sample.repartition(1).mapInArrow(train, "coordinate long, weight double"))
 
 

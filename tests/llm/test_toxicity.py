@@ -59,3 +59,17 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs(spark), toxicity.fit(docs(spark), empty, SMALL), SMALL).collect()} == {0.0}
     assert toxicity.score(docs(spark, []), toxicity.fit(docs(spark, []), empty, SMALL), SMALL).count() == 0
+
+
+def test_a_cut_class_shifts_the_intercept(spark):
+    """100 toxic and 400 clean rows, less the held-out ones; with at most 20 of each the odds of the sample are even."""
+    import math
+
+    table, labels = corpus(spark)
+    known = toxicity.known_rows(table, labels)
+    toxic, clean = known.where("toxic = 1").count(), known.where("toxic = 0").count()
+    assert abs(toxicity.log_odds_shift(known, 40) - math.log(toxic / clean)) < 1e-9
+    assert toxicity.log_odds_shift(known, 2000) == 0.0
+    flat = toxicity.Ftrl(bits=18, l1=1e9, epochs=1, max_rows=40)  # the intercept alone
+    w = {r.coordinate: r.weight for r in toxicity.fit(table, labels, flat).collect()}
+    assert set(w) == {-1} and w[-1] < math.log(toxic / clean) / 2
