@@ -25,6 +25,7 @@ from evidrank.plans.evidence_run import SCORED, UNIVERSE, EvidenceRun
 from evidrank.plans.registry import query, r6, table
 from evidrank.plans.table_text import CONTEXTS, _word_sql
 from evidrank.sources import delimited, records, schema
+from evidrank.sources.lines import write_block_gzip
 from evidrank.sources.stages import StageStore, cut, scratch_folder, write_id_list
 
 WEIGHTS = {"length": 0.20, "quality": 0.20, "safety": 0.15, "topic": 0.15, "talk": 0.15, "markup": 0.15}
@@ -748,32 +749,60 @@ def _write_with_head(spark: SparkSession, lines: DataFrame, head: list[str], fil
     return path
 
 
-def _named_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Tab-separated customers: a third has a number for a name, a third a name that starts with #; fields are empty."""
+def _named_lines(spark: SparkSession, sf: str, head: list[str]) -> DataFrame:
+    """Tab-separated customers: a third has a number for a name, a third a name that starts with #; fields are empty.
+
+    Every fortieth row repeats the header, and the one after it the first head line, word for word.
+    """
     key = F.col("c_custkey")
     name = F.when(key % 3 == 0, F.concat(F.lit("#"), "c_name")).when(key % 3 == 1, key.cast("string")).otherwise(F.col("c_name"))
     value = F.when(F.col("c_nationkey") <= 9, F.col("c_acctbal").cast("string")).otherwise("")
-    return table(spark, sf, "customer").select(F.concat_ws("\t", name, F.col("c_nationkey").cast("string"), value).alias("value"))
+    line = F.concat_ws("\t", name, F.col("c_nationkey").cast("string"), value)
+    return table(spark, sf, "customer").select(F.when(key % 40 == 0, head[-1]).when(key % 40 == 1, head[0]).otherwise(line).alias("value"))
+
 
+def _named_sql(first: str) -> str:
+    return f"""SELECT CASE WHEN c_custkey % 40 = 0 THEN 'Name' WHEN c_custkey % 40 = 1 THEN '{first}'
+    WHEN c_custkey % 3 = 0 THEN '#' || c_name WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
+  CASE WHEN c_custkey % 40 = 0 THEN 'Description' WHEN c_custkey % 40 > 1 THEN CAST(c_nationkey AS VARCHAR) END AS description,
+  CASE WHEN c_nationkey <= 9 AND c_custkey % 40 > 1 THEN c_acctbal END AS value FROM customer"""
 
-NAMED_SQL = """SELECT CASE WHEN c_custkey % 3 = 0 THEN '#' || c_name WHEN c_custkey % 3 = 1 THEN CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
-  CAST(c_nationkey AS VARCHAR) AS description, CASE WHEN c_nationkey <= 9 THEN c_acctbal END AS value FROM customer"""
 
+PREAMBLE = ["#1.2", "600\t1", "Name\tDescription\tValue"]
+COMMENTED = ["# release 7", "Name\tDescription\tValue"]
 
-@query("preamble_scan", NAMED_SQL)
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("Name").alias("name"), F.col("Description").alias("description"), schema.lenient("Value", "double").alias("value"))
+
+
+@query("preamble_scan", _named_sql(PREAMBLE[0]))
 def preamble_scan(spark, sf):
     """Files below a version line, a dimension line and the header, read back without losing a row."""
-    path = _write_with_head(spark, _named_lines(spark, sf), ["#1.2", "600\t1", "Name\tDescription\tValue"])
-    rows = delimited.read_preamble(spark, path)
-    return rows.select(F.col("Name").alias("name"), F.col("Description").alias("description"), schema.lenient("Value", "double").alias("value"))
+    return _named(delimited.read_preamble(spark, _write_with_head(spark, _named_lines(spark, sf, PREAMBLE), PREAMBLE)))
 
 
-@query("comment_scan", NAMED_SQL)
+@query("comment_scan", _named_sql(COMMENTED[0]))
 def comment_scan(spark, sf):
-    """Files whose first line is a comment; later lines that start like one are rows."""
-    path = _write_with_head(spark, _named_lines(spark, sf), ["# release 7", "Name\tDescription\tValue"])
-    rows = delimited.read_delimited(spark, path, comment="#")
-    return rows.select(F.col("Name").alias("name"), F.col("Description").alias("description"), schema.lenient("Value", "double").alias("value"))
+    """Files whose first line is a comment; later lines that start like one, or repeat it, are rows."""
+    return _named(delimited.read_delimited(spark, _write_with_head(spark, _named_lines(spark, sf, COMMENTED), COMMENTED), comment="#"))
+
+
+@query(
+    "block_gzip_scan",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS l_returnflag, l_quantity FROM lineitem
+       UNION ALL SELECT NULL, NULL, 'l_returnflag', NULL FROM region""",
+)
+def block_gzip_scan(spark, sf):
+    """All line items from block-gzip files, cut anywhere into ranges; rows that repeat the header stay."""
+    head = "\t".join(["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"])
+    flag = F.when(F.col("l_returnflag") == "N", "NA").otherwise(F.col("l_returnflag"))
+    item = F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), flag, F.col("l_quantity").cast("string"))
+    rows = table(spark, sf, "lineitem").select(item.alias("value")).unionByName(table(spark, sf, "region").select(F.lit(head).alias("value")))
+    path = f"{scratch_folder(spark)}/evidrank-sinks/{uuid.uuid4().hex}"
+    write_block_gzip(rows, path, head=[head])
+    declared = "l_orderkey bigint, l_linenumber bigint, l_returnflag string, l_quantity double"
+    return schema.conform(delimited.read_delimited(spark, path, range_bytes=256 << 10), _struct(declared))
 
 
 def _struct(ddl: str):

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidrank.sources.lines import RANGE_BYTES, files_of, read_heads, read_lines
+
+COMPRESSED = (".gz", ".bgz")
 DEFAULT_NULLS = ("NA", "", ".")
 
 
@@ -21,25 +24,23 @@ def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df.repartition(partitions) if partitions else df
 
 
-def _heads(spark: SparkSession, path: str | list[str], lines: int) -> dict[tuple[str, ...], list[str]]:
-    """The files of a path by their first lines; only those lines reach the driver."""
-    by_head: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.text(path).inputFiles()):
-        head = tuple(r[0] for r in spark.read.text(file).limit(lines).collect())
-        by_head.setdefault(head, []).append(file)
-    return by_head
-
-
-def _rows_below(spark: SparkSession, files: list[str], head: Sequence[str], header: str, separator: str) -> DataFrame:
-    """Every line of the files but the head lines, told by their exact text, split into the header's columns.
+def _below_heads(spark: SparkSession, heads: dict[str, list[tuple[int, str]]], separator: str, range_bytes: int) -> DataFrame:
+    """Every line below its file's head lines, split into the columns that the last head line names.
 
-    Files may be split anywhere. A line that repeats a whole head line word for word cannot be told from it.
+    The heads are told by their places in the file, so a row that repeats one is a row. Files with other columns, or in
+    another order, are united by name.
     """
-    names = [n.strip('"') for n in header.split(separator)]
-    ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    lines = spark.read.text(files).where(~F.col("value").isin(*head))
-    parsed = F.from_csv(F.col("value"), ddl, {"sep": separator, "mode": "PERMISSIVE"})
-    return lines.where(F.col("value") != "").select(parsed.alias("row")).select("row.*")
+    by_header: dict[str, list[tuple[str, int]]] = {}
+    for path, head in heads.items():
+        by_header.setdefault(head[-1][1], []).append((path, head[-1][0]))
+    parts = []
+    for header, files in sorted(by_header.items()):
+        names = [n.strip('"') for n in header.split(separator)]
+        ddl = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        below = read_lines(spark, files, range_bytes).where(F.col("line") != "")
+        parsed = F.from_csv(F.col("line"), ddl, {"sep": separator, "mode": "PERMISSIVE"})
+        parts.append(below.select(parsed.alias("row")).select("row.*"))
+    return _union(parts)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -56,23 +57,25 @@ def read_delimited(
     null_tokens: Sequence[str] = DEFAULT_NULLS,
     comment: str | None = None,
     partitions: int | None = None,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """All-string scan of delimited files with a header line.
 
-    Gzip files (``.gz``, and block gzip under that name) are read as they are, but one task reads one file:
-    give ``partitions`` to spread the rows before heavy work. With ``comment`` the first line of a file is dropped if it
-    starts so, and no other: names may begin with that character too. Files whose columns stand in another order are
-    united by name then, and refused without ``comment``.
+    Compressed files are told by ``.gz`` or ``.bgz``. Block gzip under either name is read by several tasks, ``range_bytes``
+    each; one ordinary gzip file is one task: give ``partitions`` to spread its rows before heavy work. With ``comment``
+    the first line of a file is left out if it starts so, and no other: names may begin with that character too, and a
+    row may repeat the comment or the header. A quoted field cannot hold a line break. Empty files have no rows.
     """
-    if not comment:
+    files = files_of(spark, path)
+    if not comment and not any(f.endswith(COMPRESSED) for f in files):
         reader = spark.read.option("header", True).option("sep", separator).option("enforceSchema", False)
         return _spread(nullify(reader.csv(path), null_tokens), partitions)
-    parts = []
-    for head, files in _heads(spark, path, 2).items():
-        drop = head if head[:1] and head[0].startswith(comment) else head[:1]
-        if drop:
-            parts.append(_rows_below(spark, files, drop, drop[-1], separator))
-    return _spread(nullify(_union(parts), null_tokens), partitions)
+    heads = {}
+    for file, head in read_heads(spark, files, 2).items():
+        commented = bool(comment) and head[0][1].startswith(comment)
+        if len(head) > commented:
+            heads[file] = head[: 1 + commented]
+    return _spread(nullify(_below_heads(spark, heads, separator, range_bytes), null_tokens), partitions)
 
 
 def read_preamble(
@@ -81,13 +84,11 @@ def read_preamble(
     separator: str = "\t",
     null_tokens: Sequence[str] = DEFAULT_NULLS,
     partitions: int | None = None,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
-    """Scan of files that start with a version line, a dimension line and then the header.
+    """Scan of files, compressed or not, that start with a version line, a dimension line and then the header.
 
-    Only the three head lines of each file reach the driver, and only they are dropped, by their exact text: rows with
-    numeric names, empty fields or names that start with ``#`` stay.
+    One job reads the three head lines of all files; only they are left out, by their places, whatever rows hold.
     """
-    parts = [
-        _rows_below(spark, files, head, head[2], separator) for head, files in _heads(spark, path, 3).items() if len(head) == 3
-    ]
-    return _spread(nullify(_union(parts), null_tokens), partitions)
+    heads = {f: head for f, head in read_heads(spark, files_of(spark, path), 3).items() if len(head) == 3}
+    return _spread(nullify(_below_heads(spark, heads, separator, range_bytes), null_tokens), partitions)
