@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -204,3 +205,47 @@ def with_row_number(df: DataFrame, order: Sequence[Column], out: str = "position
         .withColumn(out, F.col("_offset") + F.col("_index") + 1)
         .drop("_part", "_mono", "_index", "_offset")
     )
+
+
+def probe_positions(df: DataFrame, probes: DataFrame, value: str, tie: str, out: str = "position") -> DataFrame:
+    """Where each probe stands among all rows by (value descending, tie ascending): ``probes`` plus ``out``, from 1.
+
+    ``probes`` has distinct (value, tie) pairs; ``df`` is read three times and never sorted. The position of a probe is
+    one more than the rows with a greater value, and the rows with its value and a smaller tie-breaker:
+
+    * whole buckets above come from bucket totals; in the buckets that hold a probe, and only there, rows are counted
+      per value;
+    * a row that shares its value with probes counts towards the first of their tie-breakers that is greater, so a tie
+      that holds a third of the table costs one count per probe and task. The join that brings it the tie-breakers is
+      salted for such values.
+
+    NULL and NaN values are no rows.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias(value), F.col(tie).alias("_row_tie"))
+    bounds = measure_bounds(rows, {"v": value})["v"]
+    bucketed = rows.withColumn("_bucket", bounds.bucket(F.col(value)))
+    asked = probes.withColumn("_bucket", bounds.bucket(F.col(value).cast("double")))
+    sizes = {r["_bucket"]: r["count"] for r in bucketed.groupBy("_bucket").count().collect()}  # at most MAX_BUCKETS rows
+    used = sorted(r[0] for r in asked.select("_bucket").distinct().collect())  # as many
+    beyond = dict(zip(sorted(sizes, reverse=True), accumulate((sizes[b] for b in sorted(sizes, reverse=True)), initial=0)))
+    totals = df.sparkSession.createDataFrame([(b, beyond.get(b, 0)) for b in used], "_of int, _beyond bigint")
+    counts = bucketed.where(F.col("_bucket").isin(used)).groupBy("_bucket", value).agg(F.count(F.lit(1)).alias("_ties"))
+    inside = Window.partitionBy("_bucket").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("_ties").over(inside), F.lit(0)))
+    # By text: from an equality of the bucket columns the optimizer would infer a filter that has no input.
+    same = F.col("_bucket").cast("string") == F.col("_of").cast("string")
+    above = counts.join(F.broadcast(totals), same).select(value, (F.col("_beyond") + F.col("_inside")).alias("_above"))
+    ties = asked.groupBy(F.col(value).cast("double").alias(value)).agg(F.sort_array(F.collect_set(tie)).alias("_asked"))
+    met = attach_table(rows, ties, value, bounds).where(F.col("_asked").isNotNull())
+    place = F.size(F.filter("_asked", lambda t: t <= F.col("_row_tie")))  # probes that do not stand below this row
+    before = met.groupBy(F.col(value).alias("_value"), place.cast("int").alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    # The rows before probe number p (from 0) of its value are those of all places up to p.
+    numbered = ties.select(F.col(value).alias("_value"), F.posexplode("_asked").alias("_place", "_tie"), F.lit(0).alias("_n"))
+    upto = Window.partitionBy("_value").orderBy("_place").rangeBetween(Window.unboundedPreceding, 0)
+    both = numbered.unionByName(before, allowMissingColumns=True).withColumn("_smaller", F.sum("_n").over(upto))
+    latest = both.where(F.col("_tie").isNotNull()).select("_value", "_tie", "_smaller")
+    key = F.col(value).cast("double")
+    placed = probes.join(above.withColumnRenamed(value, "_value"), key == F.col("_value"), "left").drop("_value")
+    placed = placed.join(latest, (key == F.col("_value")) & (F.col(tie) == F.col("_tie")), "left").drop("_value", "_tie")
+    return placed.withColumn(out, F.coalesce("_above", F.lit(0)) + F.coalesce("_smaller", F.lit(0)) + 1).drop("_above", "_smaller")

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrank.functions.ranks import attach_table, measure_bounds, percent_rank_table, quantiles, with_row_number
+from evidrank.functions.ranks import attach_table, measure_bounds, percent_rank_table, probe_positions, quantiles
 from evidrank.functions.rows import ladder
 from evidrank.sources.stages import cut, settle
 
@@ -114,20 +114,20 @@ def recall_at_k(
     on: str = "gene_symbol",
     score: str = "composite_score",
 ) -> DataFrame:
-    """``threshold, k, hits, total_known, recall`` for absolute and percentage cut-offs from one global ordering.
+    """``threshold, k, hits, total_known, recall`` for absolute and percentage cut-offs of one global ordering.
 
-    Rows get their exact position by (score descending, entity); every cut-off is then a conditional count over the
-    controls' positions.
+    Only the controls get their exact position by (score descending, entity), from counts of the rows that stand before
+    them (``probe_positions``); the scored rows are neither sorted nor numbered. Every cut-off is then a conditional
+    count over those positions.
     """
-    known = scored.where(F.col(score).isNotNull()).select(on, score)
-    placed = with_row_number(known, [F.desc(score), F.asc(on)])
-    total = placed.agg(F.count(F.lit(1))).scalar()
+    known = settle(scored.where(F.col(score).isNotNull() & ~F.isnan(score)).select(on, score))
+    total = known.agg(F.count(F.lit(1))).scalar()
     unique = controls.select(on).where(F.col(on).isNotNull()).distinct()
     cut_offs = [(str(k), F.lit(k).cast("long")) for k in ks]
     cut_offs += [(f"{int(f * 100)}%", F.floor(total * F.lit(f)).cast("long")) for f in fractions]
     # an entity with several rows counts once, at its best position
-    best = placed.join(unique, on, "left_semi").groupBy(on).agg(F.min("position").alias("position"))
-    counted = best.agg(
+    best = cut(known.join(unique, on, "left_semi").groupBy(on).agg(F.max(score).alias(score)))
+    counted = probe_positions(known, best, score, on).agg(
         *[F.count_if(F.col("position") <= k).alias(f"h{i}") for i, (_, k) in enumerate(cut_offs)]
     ).withColumn("total_known", unique.agg(F.count(F.lit(1))).scalar())
     rows = F.array(

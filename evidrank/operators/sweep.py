@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrank.operators.composite import check_weights, composite_sql
+from evidrank.sources.stages import cut
 
 # Default perturbations, list length, stability limit and smallest overlap for a correlation.
 DEFAULT_DELTAS = (-0.10, -0.05, 0.05, 0.10)
 TOP_N = 100
 STABLE_RHO = 0.85
 MIN_OVERLAP = 10
+#: Rows, as a multiple of the list length, from which the entry bounds of the lists are taken.
+LEADERS = 4
 
 
 def perturb_weights(weights: Mapping[str, float], layer: str, delta: float) -> dict[str, float]:
@@ -58,6 +61,68 @@ def weight_scenarios(baseline: DataFrame, deltas: Sequence[float] = DEFAULT_DELT
     )
 
 
+def scenario_score(weights: Mapping[str, float], digits: int | None = None) -> str:
+    """The composite under one weighting, as SQL text."""
+    score = composite_sql(weights)
+    return score if digits is None else f"round({score}, {digits})"
+
+
+def _group_key(entity: str, symbol: str) -> Column:
+    """What stands for a symbol; a row without a symbol stands for itself."""
+    own = F.concat(F.lit("id:"), F.col(entity).cast("string"))
+    return F.coalesce(F.concat(F.lit("symbol:"), F.col(symbol).cast("string")), own)
+
+
+def _top(ranked: DataFrame, top_n: int, entity: str) -> DataFrame:
+    """The first rows of each scenario; limited inside each task first, so few rows per task are shuffled."""
+    first = Window.partitionBy("scenario").orderBy(F.desc("composite"), F.asc(entity))
+    return ranked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= top_n)
+
+
+def entry_bounds(
+    joined: DataFrame,
+    plans: Sequence[Mapping[str, float]],
+    top_n: int = TOP_N,
+    entity: str = "gene_id",
+    symbol: str = "gene_symbol",
+    digits: int | None = None,
+) -> list[float | None]:
+    """Per scenario, a composite that no row of its top list is below; None if none is known.
+
+    The symbols of the best rows under the first weighting, a few times ``top_n``, are scored exactly in every scenario.
+    The composite of the ``top_n``-th of them is such a bound: the whole list cannot end lower. One number a scenario
+    reaches the driver. Too few symbols among those rows only mean that nothing is pruned.
+    """
+    keyed = joined.withColumn("_group", _group_key(entity, symbol))
+    first = F.expr(scenario_score(plans[0], digits))
+    lead = keyed.where(first.isNotNull()).orderBy(first.desc(), entity).limit(LEADERS * top_n).select("_group").distinct()
+    few = keyed.join(F.broadcast(lead), "_group", "left_semi").drop("_group")  # at most LEADERS * top_n keys
+    listed = _top(best_by_scenario(few, plans, entity, symbol, digits), top_n, entity)
+    found = listed.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.min("composite").alias("least")).where(F.col("n") == top_n)
+    bounds = {r["scenario"]: r["least"] for r in found.collect()}
+    return [bounds.get(i) for i in range(len(plans))]
+
+
+def contenders(
+    joined: DataFrame,
+    plans: Sequence[Mapping[str, float]],
+    bounds: Sequence[float | None],
+    entity: str = "gene_id",
+    symbol: str = "gene_symbol",
+    digits: int | None = None,
+) -> DataFrame:
+    """The rows of every symbol with a row that reaches the bound of some scenario; no other symbol enters a top list.
+
+    A row is tested by itself, in one scan, under all weightings; nothing is grouped. All rows of a symbol that stays
+    are kept, since another of them may be the one that stands for it.
+    """
+    if any(b is None for b in bounds):
+        return joined
+    reaches = " or ".join(f"{scenario_score(w, digits)} >= double('{b!r}')" for w, b in zip(plans, bounds))
+    keyed = joined.withColumn("_group", _group_key(entity, symbol))
+    return keyed.join(keyed.where(reaches).select("_group").distinct(), "_group", "left_semi").drop("_group")
+
+
 def best_by_scenario(
     joined: DataFrame,
     plans: Sequence[Mapping[str, float]],
@@ -73,8 +138,7 @@ def best_by_scenario(
     """
 
     def kept(weights: Mapping[str, float]) -> str:
-        score = composite_sql(weights)
-        score = score if digits is None else f"round({score}, {digits})"
+        score = scenario_score(weights, digits)
         lower = f"coalesce(-({score}), double('Infinity'))"
         return f"min(struct(-evidence_count as fewer, {lower} as lower, `{entity}` as id))"
 
@@ -99,14 +163,18 @@ def sensitivity_sweep(
 
     Takes the undeduplicated evidence join. Columns: ``layer, delta, spearman_rho, overlap_count, top_n,
     perturbed_weights, t_statistic, p_value``. ``spearman_rho`` is NULL under ten common entries.
+
+    Before any scenario is aggregated, symbols that cannot enter any list are left out by bounds (``entry_bounds``); the
+    running bests are then kept for the few that can. The join is written once, as it is scanned three times.
     """
     check_weights(weights)
     grid = scenarios(weights, deltas)
     match = match_on or symbol
-    ranked = best_by_scenario(joined, [dict(weights), *[w for *_, w in grid]], entity, symbol, digits)
-    # row_number <= n is limited inside each task first: at most top_n rows per task and scenario are shuffled
-    first = Window.partitionBy("scenario").orderBy(F.desc("composite"), F.asc(entity))
-    top = ranked.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= top_n)
+    plans = [dict(weights), *[w for *_, w in grid]]
+    own = [entity, symbol, "evidence_count", *[f"{n}_score" for n in weights], match]
+    joined = cut(joined.select(*dict.fromkeys(own)))
+    few = contenders(joined, plans, entry_bounds(joined, plans, top_n, entity, symbol, digits), entity, symbol, digits)
+    top = _top(best_by_scenario(few, plans, entity, symbol, digits), top_n, entity)
     top = top.where(F.col(match).isNotNull()).select("scenario", match, "composite")
     # at most top_n rows per scenario from here on; the baseline meets the others through one group per entry
     base = F.max(F.when(F.col("scenario") == 0, F.col("composite"))).over(Window.partitionBy(match))

@@ -351,9 +351,10 @@ positives AS (SELECT doc_id AS gene_id, 'clean' AS source FROM labels WHERE qual
 negatives AS (SELECT doc_id AS gene_id, 'toxic' AS source FROM labels WHERE toxic = 1)"""
 
 
-def control_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def control_tables(spark: SparkSession, sf: str, joined: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scored documents (rounded, so that both engines see the same ties), positive and negative controls."""
-    scored = scored_documents(spark, sf).select("gene_id", F.round("composite_score", 9).alias("composite_score"))
+    scored = cut(J.weighted_composite(joined, WEIGHTS)) if joined else scored_documents(spark, sf)
+    scored = scored.select("gene_id", F.round("composite_score", 9).alias("composite_score"))
     labels = table(spark, sf, "labels")
     english = table(spark, sf, "documents").where(F.col("lang") == "en").select("doc_id")
     good = labels.where(F.col("quality") == 1)
@@ -495,16 +496,26 @@ ranks AS (SELECT *, rank() OVER (PARTITION BY scenario ORDER BY x) + (count(*) O
 sweep AS (SELECT layer, delta, count(*) AS overlap_count, CASE WHEN count(*) >= 10 THEN corr(rx, ry) END AS rho FROM ranks GROUP BY layer, delta)"""
 
 
-def document_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return S.sensitivity_sweep(joined_documents(spark, sf), WEIGHTS, digits=9)
+def document_sweep(spark: SparkSession, sf: str, joined: DataFrame | None = None) -> DataFrame:
+    return S.sensitivity_sweep(joined or joined_documents(spark, sf), WEIGHTS, digits=9)
 
 
 @query(
     "sensitivity",
-    f"""WITH {SWEEP_SQL} SELECT layer, delta, round(rho, 6) AS spearman_rho, overlap_count, CAST(100 AS BIGINT) AS top_n FROM sweep""",
+    f"""WITH {SWEEP_SQL},
+        r AS (SELECT *, overlap_count - 2 AS f, CASE WHEN abs(rho) < 0.999999 THEN rho * sqrt((overlap_count - 2) / (1 - rho * rho)) END AS t FROM sweep),
+        -- Student's t by Simpson's rule on its density in the angle atan(t / sqrt(f)), 400 pieces
+        a AS (SELECT *, atan(abs(t) / sqrt(f)) / 400 AS h, exp(lgamma((f + 1) / 2) - lgamma(f / 2)) / sqrt(pi()) AS c FROM r),
+        p AS (SELECT *, list_sum(list_transform(range(401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+                                * pow(cos(h * i), f - 1))) * h / 3 * c AS inside FROM a)
+        SELECT layer, delta, round(rho, 6) AS spearman_rho, overlap_count, CAST(100 AS BIGINT) AS top_n, round(t, 4) AS t_statistic,
+          round(CASE WHEN t IS NOT NULL THEN greatest(0e0, 1 - 2 * inside) END, 6) AS p_value FROM p""",
 )
 def sensitivity(spark, sf):
-    return document_sweep(spark, sf).select("layer", "delta", r6("spearman_rho"), "overlap_count", "top_n")
+    """Agreement per scenario with its t statistic and p-value, but for agreements of 0.999999 and more, where t has no stable digits."""
+    rows = document_sweep(spark, sf)
+    told = lambda c, digits: F.when(F.abs("spearman_rho") < 0.999999, F.round(c, digits)).alias(c)
+    return rows.select("layer", "delta", told("t_statistic", 4), told("p_value", 6), r6("spearman_rho"), "overlap_count", "top_n")
 
 
 @query(
@@ -607,13 +618,14 @@ def relaxed_concat(spark, sf):
         FROM o, (WITH {SWEEP_SQL} SELECT count(rho) > 0 AND count(rho) = count(*) FILTER (rho >= 0.85) AS s FROM sweep)""",
 )
 def validation_verdict(spark, sf):
-    scored, positives, negatives = control_tables(spark, sf)
+    joined = cut(joined_documents(spark, sf))  # read by the scores and by the sweep
+    scored, positives, negatives = control_tables(spark, sf, joined)
     both = positives.withColumn("side", F.lit("plus")).unionByName(negatives.withColumn("side", F.lit("minus")))
     ranked = K.rank_controls(scored, both, "gene_id", keep=("source", "side"))
     of = lambda side: ranked.where(F.col("side") == side).drop("side")
     plus = K.control_summary(of("plus"), positives, on="gene_id")
     minus = K.control_summary(of("minus"), negatives, positive=False, on="gene_id")
-    sweep = document_sweep(spark, sf).withColumn("spearman_rho", F.round("spearman_rho", 9))
+    sweep = document_sweep(spark, sf, joined).withColumn("spearman_rho", F.round("spearman_rho", 9))
     return K.validation_verdict(plus, minus, S.sweep_summary(cut(sweep)))
 
 

@@ -1,7 +1,9 @@
 """Rank helpers against Spark's own window functions and exact percentiles."""
 
+import random
+
 import pytest
-from helpers import by_key, plan
+from helpers import by_key, plan, rows
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -98,3 +100,25 @@ def test_no_single_task_over_rows(skewed):
     for line_no, line in enumerate(lines := text.splitlines()):
         if "Exchange SinglePartition" in line:
             assert "HashAggregate(keys=[_bucket" in lines[line_no + 1]
+
+
+def test_positions_of_probes_with_hot_ties_and_repeated_rows(spark):
+    pick = random.Random(7)
+    data = [(f"g{pick.randrange(400):03d}", pick.choice([0.0, 0.0, 0.0, 0.5, pick.random(), None, float("nan")])) for _ in range(2000)]
+    known = [(v, k) for k, v in data if v is not None and v == v]
+    probes = sorted({known[pick.randrange(len(known))] for _ in range(60)} | {(v, k) for v, k in known if v == 0.0 and k < "g050"})
+    df = spark.createDataFrame(data, "id string, v double").repartition(5)
+    asked = spark.createDataFrame([(k, v) for v, k in probes], "id string, v double")
+    got = {(r["v"], r["id"]): r["position"] for r in R.probe_positions(df, asked, "v", "id").collect()}
+    assert got == {(v, k): 1 + sum(w > v or (w == v and j < k) for w, j in known) for v, k in probes}
+    assert R.probe_positions(df, asked.limit(0), "v", "id").count() == 0
+
+
+def test_recall_neither_sorts_nor_numbers_the_scored_rows(spark):
+    from evidrank.operators.controls import recall_at_k
+
+    scored = spark.createDataFrame([(f"g{k:03d}", k % 7 / 7) for k in range(300)], "gene_symbol string, composite_score double")
+    controls = spark.createDataFrame([("g006",), ("g299",), ("nobody",)], "gene_symbol string")
+    df = recall_at_k(scored, controls, ks=(5, 43), fractions=(0.5,))
+    assert "rangepartitioning" not in plan(df)
+    assert rows(df, "threshold", "hits", "total_known") == [("43", 1, 3), ("5", 1, 3), ("50%", 2, 3)]  # g006 is first, g299 comes 85th

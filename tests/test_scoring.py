@@ -278,6 +278,26 @@ def test_sweep_equals_recomputation(spark):
     assert len(swept) == 12
 
 
+def test_sweep_prunes_before_it_aggregates(spark):
+    """Few symbols are left to aggregate, and the lists are those of all symbols, ties and repeated symbols included."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("gene_id"),
+        F.when(F.col("id") % 50 != 3, F.concat(F.lit("g"), (F.col("id") % 1500).cast("string"))).alias("gene_symbol"),
+        *[F.when((F.col("id") + 3 * k) % 7 != 0, F.round(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000, 2)).alias(f"{n}_score") for k, n in enumerate(J.DEFAULT_WEIGHTS)],
+    )
+    rows = rows.withColumn("evidence_count", sum(F.col(f"{n}_score").isNotNull().cast("int") for n in J.DEFAULT_WEIGHTS)).cache()
+    plans = [dict(J.DEFAULT_WEIGHTS), *[w for *_, w in S.scenarios(J.DEFAULT_WEIGHTS)]]
+    bounds = S.entry_bounds(rows, plans, 100, digits=9)
+    assert None not in bounds
+    few = S.contenders(rows, plans, bounds, digits=9)
+    assert few.count() < rows.count() / 3
+    lists = lambda df: S._top(S.best_by_scenario(df, plans, digits=9), 100, "gene_id").drop("_n")
+    whole = sorted(map(tuple, lists(rows).collect()), key=str)
+    assert sorted(map(tuple, lists(few).collect()), key=str) == whole and len(whole) == 2500
+    assert S.contenders(rows, plans, [None, *bounds[1:]]) is rows
+    assert S.entry_bounds(rows.limit(50), plans, 100) == [None] * 25
+
+
 def test_sweep_needs_ten_common_rows(spark):
     few = sweep_input(spark).where("id between 1 and 20")
     out = S.sensitivity_sweep(few, J.DEFAULT_WEIGHTS, [0.1])
