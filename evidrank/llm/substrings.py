@@ -130,8 +130,9 @@ def _strings(docs: DataFrame, texts: DataFrame, width: int, crowd: int) -> DataF
     return met.mapInArrow(run, "doc_id long, digest binary, at long, key binary, mini long, crowded boolean, packed binary")
 
 
-_LEARNT = pa.schema([("key", pa.binary()), ("since", pa.int64()), ("until", pa.int64()), ("first", pa.int64())])
-_LEARNT_SQL = "key binary, since long, until long, first long"
+_SPANS = pa.list_(pa.struct([("since", pa.int64()), ("until", pa.int64()), ("first", pa.int64())]))
+_LEARNT = pa.schema([("key", pa.binary()), ("spans", _SPANS)])
+_LEARNT_SQL = "key binary, spans array<struct<since: long, until: long, first: long>>"
 
 
 def first_holders(strings: list[bytes], lows: list[int], width: int) -> list[np.ndarray]:
@@ -153,18 +154,18 @@ def first_holders(strings: list[bytes], lows: list[int], width: int) -> list[np.
 
 
 def _in_buckets(strings: DataFrame, width: int) -> DataFrame:
-    """key, since, until, first: windows of a string first held by a document before some holder of the string."""
+    """key and spans (since, until, first): windows of a string that a document before some holder of the string holds."""
 
     def learnt(bucket: dict[bytes, list]) -> pa.RecordBatch:
         packed = list(bucket)
-        rows = []
+        keys, spans = [], []
         for (low, high, key), first in zip(bucket.values(), first_holders(packed, [v[0] for v in bucket.values()], width)):
             edges = np.concatenate([[0], np.flatnonzero(first[1:] != first[:-1]) + 1, [len(first)]])
-            for a, b in zip(edges.tolist(), edges[1:].tolist()):
-                if first[a] < high:
-                    rows.append((key, a, b, int(first[a])))
-        columns = zip(*rows) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LEARNT)], schema=_LEARNT)
+            own = [{"since": a, "until": b, "first": int(first[a])} for a, b in zip(edges.tolist(), edges[1:].tolist()) if first[a] < high]
+            if own:
+                keys.append(key)
+                spans.append(own)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, _SPANS)], schema=_LEARNT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: dict[bytes, list] = {}
@@ -203,9 +204,11 @@ def _one_by_one(strings: DataFrame, width: int) -> DataFrame:
 
     once = strings.groupBy("key", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     held = settled(once.mapInArrow(run, "window binary, key binary, low long, high long, since long"))
-    first = held.groupBy("window").agg(F.min("low").alias("first"))
-    met = held.join(first, "window").where("first < high")
-    return met.select("key", "since", (F.col("since") + 1).alias("until"), "first")
+    # A table of its own: the join then meets plain shuffles, and a window that very many strings hold can be split.
+    first = held.groupBy("window").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
+    met = held.join(settled(first.select("window", "first")), "window").where("first < high")
+    span = F.struct("since", (F.col("since") + 1).alias("until"), "first")
+    return settled(met.groupBy("key").agg(F.collect_list(span).alias("spans")))
 
 
 def repeated(docs: DataFrame, width: int = WIDTH, part: int = PART, crowd: int = CROWDED) -> DataFrame:
@@ -216,9 +219,11 @@ def repeated(docs: DataFrame, width: int = WIDTH, part: int = PART, crowd: int =
     texts = settled(_representatives(docs, width, part))
     strings = settled(_strings(docs, texts, width, crowd))
     learnt = _in_buckets(strings.where("not crowded"), width).unionByName(_one_by_one(strings.where("crowded"), width))
-    holders = strings.select("doc_id", "digest", "at", "key").join(learnt, "key").where("first < doc_id")
-    span = F.struct((F.col("at") + F.col("since")).alias("a"), (F.col("at") + F.col("until") + (width - 1)).alias("b"))
-    ranges = holders.groupBy("digest").agg(F.collect_list(span).alias("ranges"))
+    holders = strings.select("doc_id", "digest", "at", "key").join(learnt, "key")
+    earlier = F.filter("spans", lambda s: s.first < F.col("doc_id"))
+    spans = F.transform(earlier, lambda s: F.struct((F.col("at") + s.since).alias("a"), (F.col("at") + s.until + (width - 1)).alias("b")))
+    found = holders.select("digest", spans.alias("spans")).where(F.size("spans") > 0)
+    ranges = found.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
     known = texts.select("digest", F.col("doc_id").alias("first"), "copies").join(ranges, "digest", "left")
     return settled(known.where("copies > 1 or ranges is not null").select("digest", "first", "ranges"))
 
