@@ -31,8 +31,8 @@ from evidrank.llm.simhash import components
 PERMUTATIONS, WIDTH, SIMILARITY = 128, 5, 0.8
 #: Two texts of similarity 0.8 share one of the bands with a chance of 0.99995.
 BANDS, ROWS = 25, 5
-#: Rounds in which the texts of a band meet representatives, before all that are still apart meet.
-STAR_ROUNDS = 3
+#: Rounds in which the texts of a band meet a leader.
+LEADERS = 4
 _BLOCK = 512
 _EMPTY = np.full(PERMUTATIONS, 0xFFFF, np.uint16)
 
@@ -203,30 +203,41 @@ def band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
+def sketch(sig: np.ndarray) -> tuple[int, int]:
+    """One bit of each of the 128 places: two signatures differ in half of the places where their minima differ."""
+    low, high = np.packbits((sig & 1).astype(np.uint8)).view("<i8").tolist()
+    return low, high
+
+
 def _banded(plain: DataFrame) -> DataFrame:
-    """text_key, n (size of the shingle set) and band: a row per band of every different text of (text_key, text)."""
+    """text_key, n (size of the shingle set), the sketch (low, high) and bands of every different text of (text_key, text)."""
 
     def banded(texts: list[str]) -> list[pa.Array]:
-        keys, sizes = [], []
+        keys, sizes, bits = [], [], []
         for t in texts:
             hashes = shingles(word_hashes(t))
-            keys.append(band_keys(_signature(_lowest(hashes), not len(hashes))))
+            sig = _signature(_lowest(hashes), not len(hashes))
+            keys.append(band_keys(sig))
             sizes.append(len(np.unique(hashes)))
-        return [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            bits.append(sketch(sig))
+        low, high = zip(*bits) if bits else ((), ())
+        return [pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
 
-    rows = append(plain, banded, {"bands": "array<long>", "n": "long"})
-    return rows.select("text_key", "n", F.explode("bands").alias("band")).distinct()
+    rows = append(plain, banded, {"bands": "array<long>", "n": "long", "low": "long", "high": "long"})
+    one = F.min(F.struct("n", "low", "high", "bands")).alias("s")  # equal texts have equal ones
+    return rows.groupBy("text_key").agg(one).select("text_key", "s.*")
 
 
 def _sets(plain: DataFrame, asked: DataFrame) -> DataFrame:
-    """text_key and grams, the shingle set, of the texts in ``asked``."""
+    """text_key and grams, the shingle set as 32-bit hashes, of the texts in ``asked``."""
 
     def listed(texts: list[str]) -> list[pa.Array]:
-        sets = [np.unique(shingles(word_hashes(t))).view(np.int64) for t in texts]
-        return [pa.array(sets, pa.list_(pa.int64()))]
+        sets = [np.unique((shingles(word_hashes(t)) >> _LOW).astype(np.uint32)).view(np.int32) for t in texts]
+        return [pa.array(sets, pa.list_(pa.int32()))]
 
-    once = plain.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
-    return settled(append(once, listed, {"grams": "array<long>"}).select("text_key", "grams"))
+    met = plain.join(asked, "text_key", "left_semi")
+    made = append(met, listed, {"grams": "array<int>"})
+    return settled(made.groupBy("text_key").agg(F.min("grams").alias("grams")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -238,50 +249,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return settled(met.where(true).select("a", "b"))
 
 
-def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_key and component_key of every row: texts linked by a Jaccard similarity of ``least`` or more, over
-    any number of links, share a component.
+def near_copies(docs: DataFrame, linked: DataFrame | None = None, least: float = SIMILARITY, rounds: int = LEADERS) -> DataFrame:
+    """doc_id, text_key and component_key of every row: texts joined by ``linked`` (pairs a, b of text keys, such as
+    SimHash finds) or by a verified Jaccard similarity of ``least`` or more, over any number of links, share a component.
+
+    In each round the texts of a band meet one leader, and only those that are in another component: first the text
+    with the most neighbours in all its bands, then another one, drawn by a hash, each round. A sketch of the
+    signatures is compared inside the join, so few unlike pairs leave it; the shingle sets decide. The work of a round is
+    linear in the texts, however large a group is. Texts of a band of up to ``rounds`` + 1 all meet. In a larger band two
+    texts of different components that no leader of their 25 bands is similar to are not compared with each other;
+    ``linked`` must supply such links if they matter. Of two equally good leaders the greater key leads.
 
-    Links are looked for only between texts that share a band and are not in one component yet. In the first rounds
-    the texts of a band meet one representative, the text with the most neighbours in all its bands, so a group of
-    near copies costs a pair per text and not per two texts; then all that share a band and are still apart meet.
-    No pair is left out: one that is never compared is in one component already.
+    NULL texts count as empty; a text longer than a task's memory is not supported.
     """
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     narrow, plain = rows.select("doc_id", "text_key"), rows.select("text_key", "text")
-    bands = settled(_banded(plain))
-    crowds = bands.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    bands = settled(bands.join(crowds, "band"))
-    degrees = bands.groupBy("text_key").agg(F.sum("crowd").alias("degree"))
-    bands = settled(bands.drop("crowd").join(degrees, "text_key"))
-    sets = _sets(plain, bands.select("text_key").distinct())
-    labels = bands.select(F.col("text_key").alias("node"), F.col("text_key").alias("root")).limit(0)
-    links = None
-    for turn in range(STAR_ROUNDS + 1):
-        here = bands.join(labels, F.col("text_key") == F.col("node"), "left")
-        here = here.select("band", "text_key", "n", "degree", F.coalesce("root", "text_key").alias("label"))
-        apart = here.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        here = settled(here.join(apart.select("band"), "band"))
-        if here.isEmpty():
+    texts = settled(_banded(plain))
+    members = texts.select("text_key", F.explode("bands").alias("band")).distinct()
+    crowds = members.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    members = settled(members.join(crowds, "band"))
+    degrees = members.groupBy("text_key").agg(F.sum("crowd").alias("degree"))
+    about = settled(texts.select("text_key", "n", "low", "high").join(degrees, "text_key"))
+    sets = _sets(plain, about.select("text_key"))
+    links = None if linked is None else settled(linked.select("a", "b"))
+    labels = about.select(F.col("text_key").alias("node"), F.col("text_key").alias("root")).limit(0) if links is None else settled(components(links))
+    for turn in range(rounds):
+        known = about.join(labels, F.col("text_key") == F.col("node"), "left")
+        known = known.select("text_key", "n", "low", "high", "degree", F.coalesce("root", "text_key").alias("label"))
+        here = members.select("band", "text_key").join(known, "text_key")
+        rank = F.col("degree") if turn == 0 else F.xxhash64("text_key", "band", F.lit(turn))
+        lead = F.max(F.struct(rank.alias("rank"), "text_key", "n", "low", "high", "label")).alias("lead")
+        apart = here.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), lead).where("least <> most")
+        apart = settled(apart.select("band", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("text_key", "n", "low", "high", "label")]))
+        if apart.isEmpty():
             break
-        if turn < STAR_ROUNDS:
-            # Another representative each round: of each band one whose component has not led it, if there is any.
-            led = F.max(F.struct("degree", "text_key", "n", "label")).alias("lead")
-            lead = here.groupBy("band").agg(led).select("band", F.col("lead.text_key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.label").alias("of"))
-        else:
-            lead = here.select("band", F.col("text_key").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
-        alike = (F.col("n") >= F.lit(least) * F.col("m")) & (F.col("m") >= F.lit(least) * F.col("n"))  # else never similar
-        met = here.join(lead, "band").where((F.col("label") != F.col("of")) & alike)
-        pairs = settled(met.select(F.least("text_key", "other").alias("a"), F.greatest("text_key", "other").alias("b")).distinct())
-        found = _verified(pairs, sets, least)
+        sizes = (F.col("n") >= F.lit(least) * F.col("lead_n")) & (F.col("lead_n") >= F.lit(least) * F.col("n"))  # else never similar
+        differ = F.bit_count(F.col("low").bitwiseXOR(F.col("lead_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("lead_high")))
+        on = (here["band"] == apart["band"]) & (F.col("label") != F.col("lead_label")) & sizes & (differ <= sketch_limit(least))
+        pairs = here.join(apart, on).select(F.least("text_key", "lead_text_key").alias("a"), F.greatest("text_key", "lead_text_key").alias("b"))
+        found = _verified(settled(pairs.distinct()), sets, least)
         links = found if links is None else settled(links.unionByName(found))
         labels = settled(components(links))
-        if turn < STAR_ROUNDS:
-            used = lead.select("band", F.col("other").alias("text_key"))
-            bands = settled(bands.join(used.withColumn("_used", F.lit(True)), ["band", "text_key"], "left").withColumn("degree", F.when(F.col("_used"), -1).otherwise(F.col("degree"))).drop("_used"))
-    known = narrow.join(labels, F.col("text_key") == F.col("node"), "left")
-    return known.select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component_key"))
+    every = narrow.join(labels, F.col("text_key") == F.col("node"), "left")
+    return every.select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component_key"))
+
+
+def sketch_limit(least: float) -> int:
+    """Bits of the sketch in which texts of that similarity differ at most, but for 4 standard deviations (1 in 20,000)."""
+    share = (1 - least) / 2
+    return int(PERMUTATIONS * share + 4 * (PERMUTATIONS * share * (1 - share)) ** 0.5)
 
 
 def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -296,7 +313,7 @@ def similar(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_text_key"), text.alias("text"))
     narrow = settled(rows.select("doc_id", "_text_key"))
     plain = rows.select(F.col("_text_key").alias("text_key"), "text")
-    bands = settled(_banded(plain).select("text_key", "band"))
+    bands = settled(_banded(plain).select("text_key", F.explode("bands").alias("band")).distinct())
     other = bands.select("band", F.col("text_key").alias("other_key"))
     pairs = settled(bands.join(other, "band").where("text_key < other_key").select("text_key", "other_key").distinct())
     asked = pairs.select(F.explode(F.array("text_key", "other_key")).alias("text_key")).distinct()

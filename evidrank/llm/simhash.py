@@ -259,6 +259,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     return prints.join(known, "bits").select("doc_id", "text_key", "bits", "component_id", "component_key")
 
 
+def text_links(groups: DataFrame) -> DataFrame:
+    """The groups of ``near_duplicates`` as links a < b of text keys: each text with the smallest key of its group."""
+    texts = settled(groups.groupBy("component_key", "text_key").agg(F.lit(1).alias("_one")).select("component_key", "text_key"))
+    hubs = settled(texts.groupBy("component_key").agg(F.min("text_key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return texts.join(hubs, "component_key").where("a < text_key").select("a", F.col("text_key").alias("b"))
+
+
 def keep_first(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
     """The rows of ``docs``, one per component: of its smallest doc_id the row whose text has the smallest hash."""
     return first_of_each(docs, near_duplicates(docs.select("doc_id", "text"), width, distance))

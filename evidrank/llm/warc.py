@@ -31,6 +31,8 @@ from evidrank.llm.common import settled
 from evidrank.sources.stages import scratch_folder
 
 LEAST, LEVEL, FILE_BYTES, SPLIT_BYTES = 100, 4, 128 << 20, 8 << 20
+#: Reading tasks, at most, for each slot of the cluster.
+RANGES_A_SLOT = 64
 _MAGIC, _STEP = b"\x1f\x8b\x08", 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -202,4 +204,7 @@ def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ranges = manifest.where("bytes > 0").select("path", "bytes", starts.alias("start"))
-    return ranges.repartition("path", "start").mapInArrow(run, _READ_SQL)
+    # A fixed number of tasks: rows that name ranges are tiny, and would else be merged into one task that reads all.
+    number = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    slots = manifest.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(min(int(number), RANGES_A_SLOT * slots), "path", "start").mapInArrow(run, _READ_SQL)

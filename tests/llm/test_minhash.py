@@ -64,6 +64,64 @@ def test_letters_and_spaces():
     assert minhash.likeness(minhash.signature(""), minhash.signature("a")) < 0.1
 
 
+def brute_classes(texts, least=0.8):
+    """{representative: ids} of {id: text} by the true Jaccard similarity of all pairs of texts, over any number of links."""
+    ids = {}
+    for i, t in texts.items():
+        ids.setdefault(t or "", []).append(i)
+    keys = sorted(ids)
+    sets = [frozenset(minhash.shingles(minhash.word_hashes(t)).tolist()) for t in keys]
+    root = list(range(len(keys)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for n, a in enumerate(sets):
+        for m, b in enumerate(sets[:n]):
+            if len(a & b) >= least * len(a | b):
+                root[find(n)] = find(m)
+    classes = {}
+    for n, t in enumerate(keys):
+        classes.setdefault(find(n), []).extend(ids[t])
+    return classes
+
+
+def edited(seed, words, n, fresh):
+    pick = random.Random(seed)
+    out = list(words)
+    for k in range(n):
+        out[pick.randrange(len(out))] = f"{fresh}{k}"
+    return " ".join(out)
+
+
+def test_near_copies_against_every_pair(spark):
+    """A hot group of near copies, groups of other sizes, copies, NULLs, empty and short texts, repeated rows, clashing columns."""
+    made = [r for r in rows() if r[0] is not None]
+    hot = prose("hot", 160).split()
+    made += [(1000 + k, edited(k, hot, 1 + k % 4, f"e{k}x"), "en", "a", 0) for k in range(150)]
+    made += [(2000 + k, edited(k, prose(f"g{k % 15}", 120).split(), k % 5, f"f{k}x"), "en", "a", 0) for k in range(90)]
+    made += [(3000 + k, edited(k, prose("cloud", 100).split(), 18, f"c{k}x"), "en", "a", 0) for k in range(60)]
+    texts = {i: t for i, t, *_ in made}
+    want = sorted(sorted(set(ids)) for ids in brute_classes(texts).values())
+    for linked in (None, spark.createDataFrame([], "a long, b long")):
+        classes = {}
+        for i, _, c in map(tuple, minhash.near_copies(with_clashes(docs(spark, made)), linked).collect()):
+            classes.setdefault(c, set()).add(i)
+        assert sorted(map(sorted, classes.values())) == want
+    assert max(map(len, want)) > 100
+    assert minhash.near_copies(docs(spark, [])).count() == 0
+
+
+def test_given_links_join_components(spark):
+    made = [(k, prose(f"l{k}", 30), "en", "a", 0) for k in range(6)]
+    keys = {r.doc_id: r.text_key for r in minhash.near_copies(docs(spark, made)).collect()}
+    linked = spark.createDataFrame([tuple(sorted((keys[0], keys[3]))), tuple(sorted((keys[3], keys[5])))], "a long, b long")
+    found = {r.doc_id: r.component_key for r in minhash.near_copies(docs(spark, made), linked).collect()}
+    assert len(set(found.values())) == 4 and found[0] == found[3] == found[5]
+
+
 def test_similar_texts_against_every_pair(spark):
     pick = random.Random(11)
     made = list(rows())

@@ -7,7 +7,8 @@ from collections import Counter
 
 import pytest
 from llm_data import docs, prose
-from test_simhash import brute_components, brute_print
+from pyspark.sql import functions as F
+from test_minhash import brute_classes
 
 import corpus_pipeline
 from evidrank.llm import queries
@@ -45,7 +46,7 @@ def test_stages_take_effect(spark, folder):
     kept = {r.doc_id for r in steps[1].collect()}
     assert kept == {i for i, *_ in made} - toxic
     texts = {i: t for i, t, *_ in made if i in kept}
-    roots = set(brute_components({i: brute_print(t) for i, t in texts.items()}).values())
+    roots = {min(ids) for ids in brute_classes(texts).values()}  # by the true Jaccard similarity of all pairs
     assert Counter(r.doc_id for r in steps[2].collect()) == Counter(roots)
     masked = {r.doc_id: r for r in steps[3].collect()}
     assert set(masked) == roots
@@ -80,7 +81,20 @@ def test_empty_documents(spark, folder, tmp_path):
 
 
 def test_names_of_the_queries():
-    assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
+
+
+def test_columns_with_clashing_names(spark, folder):
+    """Each stage keeps its documents and all their columns, whatever these are called."""
+    out, _ = folder
+    table = spark.read.parquet(f"{out}/documents.parquet")
+    names = ["_toxicity", "score", "c0", "n0", "text_key", "component_key", "a", "b", "band", "label", "_id", "_key", "_source", "taken"]
+    wide = table.select("*", *[F.lit("kept").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, wide, out), stage(spark, table, out)
+        assert got.columns == wide.columns
+        assert got.select(*names).distinct().collect() == [tuple(["kept"] * len(names))]
+        assert Counter(map(tuple, got.select(*table.columns).collect())) == Counter(map(tuple, want.collect()))
 
 
 def test_edited_copies_are_dropped(spark):
