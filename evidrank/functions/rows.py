@@ -1,6 +1,7 @@
 """Row-level column expressions in which missing stays NULL and never turns into zero.
 
-Everything here returns a ``Column`` built from JVM-side functions, so it stays inside whole-stage codegen.
+Everything here returns a ``Column`` built from JVM-side functions, so it stays inside whole-stage codegen. Only
+``membership_sketch`` reads a table, to make its column.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _REGEX_SPECIAL = set("\\^$.|?*+()[]{}")
@@ -146,3 +147,28 @@ def present_names(names: Mapping[str, Column | str]) -> Column:
 def absent_names(names: Mapping[str, Column | str]) -> Column:
     """Comma-joined names whose column is missing; empty string when none is."""
     return F.concat_ws(",", *[F.when(as_col(c).isNull(), F.lit(n)) for n, c in names.items()])
+
+
+#: Bits of a membership sketch: 4,096 longs, whatever the number of its words.
+SKETCH_BITS = 1 << 18
+
+
+def membership_sketch(words: DataFrame, column: str, bits: int = SKETCH_BITS) -> Column:
+    """A filter for the words of a column, as one literal: an array of longs in which each word sets one bit.
+
+    Words are set in the tasks and merged by OR; at most ``bits`` / 64 numbers reach the driver, however many words
+    there are. More words only let more others pass.
+    """
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    cells = words.where(F.col(column).isNotNull()).select(F.shiftright(place, 6).alias("cell"), (place % 64).cast("int").alias("bit"))
+    merged = cells.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    filled = {r["cell"]: r["bits"] for r in merged.collect()}
+    # As text, since one parse is far cheaper than thousands of calls into the JVM; the least long has no literal.
+    cell = lambda n: f"{n}L" if n != -(1 << 63) else f"({n + 1}L - 1L)"
+    return F.expr(f"array({', '.join(cell(filled.get(i, 0)) for i in range(bits // 64))})")
+
+
+def may_hold(sketch: Column, word: Column, bits: int = SKETCH_BITS) -> Column:
+    """False only where the word is none of the sketch's words."""
+    place = F.pmod(F.xxhash64(word), F.lit(bits))
+    return F.getbit(F.get(sketch, F.shiftright(place, 6).cast("int")), (place % 64).cast("int")) == 1

@@ -70,11 +70,11 @@ def rescue_ids(df: DataFrame, universe: DataFrame, prefix: str = "ENSG") -> Data
 
 
 def constraint_layer(
-    raw: DataFrame, universe: DataFrame | None = None, min_depth: float = 30.0, min_covered: float = 0.9
+    raw: DataFrame, universe: DataFrame | None = None, min_depth: float = 30.0, min_covered: float = 0.9, prefix: str = "ENSG"
 ) -> DataFrame:
     """Header aliases -> coverage flag -> score -> (with a universe) id rescue."""
     scored = invert_minmax(flag_coverage(constraint_columns(raw), min_depth, min_covered))
-    return scored if universe is None else rescue_ids(scored, universe)
+    return scored if universe is None else rescue_ids(scored, universe, prefix)
 
 
 def constraint_summary(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidrank.functions.joins import attach, keep_listed
 from evidrank.functions.ranks import with_percentile
-from evidrank.functions.rows import filled_sum, ladder, lookup, mentions_any
+from evidrank.functions.rows import filled_sum, ladder, lookup, may_hold, membership_sketch, mentions_any
 from evidrank.sources.stages import resume_remaining
 
 # Tier and context weights, and the tier order the query helper follows.
@@ -66,8 +66,9 @@ def mention_counts(
     """Documents that mention each entity's symbol, in total and per flag; zero when never mentioned.
 
     A symbol of several words (``AC01.1``) is looked for as that run of words: symbols and texts are split by the same
-    rule, and runs up to the longest symbol are taken from the texts. Distinct runs of each document are counted per
-    run first, map-side, and only the totals meet the entity table. A word found in a third of all documents therefore
+    rule, and runs up to the longest symbol are taken from the texts. A sketch of all symbols, of fixed size, drops runs
+    that are none before they become rows, so the rows follow the mentions and not the words. Distinct runs of each
+    document are counted per run first, map-side, and only the totals meet the entity table. A word found in a third of all documents therefore
     costs one row per task, and the join has unique keys.
     """
     flagged = document_flags(docs, contexts, direct, screen, text)
@@ -85,7 +86,9 @@ def mention_counts(
 
     worded = flagged.withColumn("_words", split(text))
     every = [runs(F.col("_words"), n) for n in lengths] or [F.array().cast("array<string>")]
-    found = worded.select(F.explode(F.array_distinct(F.concat(*every))).alias("_word"), *flags)
+    known = membership_sketch(listed, "_word")
+    mentioned = F.array_distinct(F.filter(F.concat(*every), lambda w: may_hold(known, w)))
+    found = worded.select(F.explode(mentioned).alias("_word"), *flags)
     per_word = found.groupBy("_word").agg(*_counts(flags))
     joined = attach(listed, per_word, "_word").drop("_word")
     return joined.na.fill(0, [c for c in joined.columns if c.endswith("_count")])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from evidrank.functions.rows import absent_names, ladder, present_names
-from evidrank.sources.stages import settle
+from evidrank.sources.stages import cut, settle
 
 # Lowest composite and layer count per tier.
 TIERS = {
@@ -64,30 +64,30 @@ def score_histogram(df: DataFrame, bins: int = 30, score: str = "composite_score
 def write_dual(df: DataFrame, folder: str, base: str = "candidates", entity: str = "gene_id") -> DataFrame:
     """Write the rows, best score first and then by id, as TSV with header and as snappy Parquet.
 
-    Returns one row with the number of rows, rows per tier and number of columns, observed during the write. The
-    order comes from a range shuffle, so both outputs are globally sorted over their part files. The shuffle samples its
-    input before it moves it, hence the settling.
+    Returns one row with the number of rows, rows per tier and number of columns, observed during the write. One range
+    shuffle and one sort serve both writers: the ordered rows are written once with their place, and both take the same
+    partitions from there, so their part files hold the same rows in the same order. The range shuffle samples its input
+    before it moves it, hence the settling.
     """
-    ordered = settle(df).orderBy(F.desc_nulls_last("composite_score"), F.asc(entity))
+    order = [F.desc_nulls_last("composite_score"), F.asc(entity)]
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    placed = settle(df).orderBy(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_place"))
     tier = F.col("confidence_tier") if "confidence_tier" in df.columns else F.lit(None).cast("string")
     seen = Observation()
-    watched = ordered.observe(
-        seen,
-        F.count(F.lit(1)).alias("total_candidates"),
-        *[F.count_if(tier == t).alias(f"{t.lower()}_count") for t in ("HIGH", "MEDIUM", "LOW")],
+    kept = cut(
+        placed.observe(
+            seen,
+            F.count(F.lit(1)).alias("total_candidates"),
+            *[F.count_if(tier == t).alias(f"{t.lower()}_count") for t in ("HIGH", "MEDIUM", "LOW")],
+            F.coalesce(F.max("_part"), F.lit(0)).alias("_last"),
+        )
     )
-    watched.write.mode("overwrite").option("compression", "snappy").parquet(f"{folder}/{base}.parquet")
-    written = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{base}.parquet")
-    flat = written.select(
-        *[
-            F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
-    flat.orderBy(F.desc_nulls_last("composite_score"), F.asc(entity)).write.mode("overwrite").option("sep", "\t").option(
-        "header", True
-    ).csv(f"{folder}/{base}.tsv")
     stats = {**seen.get, "column_count": len(df.columns)}
+    dealt = kept.repartitionById(stats.pop("_last") + 1, F.col("_part")).sortWithinPartitions("_place")
+    dealt.select(*columns).write.mode("overwrite").option("compression", "snappy").parquet(f"{folder}/{base}.parquet")
+    nested = ("array", "struct", "map")
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in nested else F.col(f"`{f.name}`") for f in df.schema.fields]
+    dealt.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/{base}.tsv")
     return df.sparkSession.createDataFrame([tuple(stats.values())], ", ".join(f"{k} bigint" for k in stats))
 
 

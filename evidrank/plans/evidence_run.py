@@ -69,8 +69,8 @@ class EvidenceRun:
             raise KeyError(f"stage {name} is missing; run the step that writes it first")
         return table
 
-    def _record(self, step: str, inputs: int | None, outputs: int | None, criteria: str = "", details: DataFrame | None = None):
-        row = details.first().asDict() if details is not None else {}
+    def _record(self, step: str, inputs: int | None, outputs: int | None, criteria: str = "", details: DataFrame | Mapping | None = None):
+        row = details.first().asDict() if isinstance(details, DataFrame) else details or {}
         self.store.record_step(self.run_id, step, inputs, outputs, criteria, row)
 
     # -- steps -----------------------------------------------------------------------------------------------------
@@ -102,17 +102,19 @@ class EvidenceRun:
     def score(self, weights: Mapping[str, float] = J.DEFAULT_WEIGHTS, force: bool = False) -> DataFrame:
         """Composite per entity, staged with its quality findings."""
         if force or not self.store.exists(SCORED):
+            flags = ("sufficient_evidence", "moderate_evidence", "sparse_evidence", "no_evidence")
+            counts = {"with_score": F.count("composite_score"), **{q: F.count_if(F.col("quality_flag") == q) for q in flags}}
             scored = J.weighted_composite(self.joined(), weights, self.entity, self.symbol)
-            written = self.store.save(scored, SCORED, "weighted composite with contributions")
+            seen = self.store.save_measured(scored, SCORED, "weighted composite with contributions", counts)
+            written = seen.pop("_rows")
             table = self.store.load(SCORED)
-            counts = table.agg(
-                F.count("composite_score").alias("with_score"),
-                *[F.count_if(F.col("quality_flag") == q).alias(q) for q in ("sufficient_evidence", "moderate_evidence", "sparse_evidence", "no_evidence")],
-            )
-            self._record("score", self._need(UNIVERSE).count(), written, str(dict(weights)), counts)
+            self._record("score", self.store.rows_of(UNIVERSE), written, str(dict(weights)), seen)
             names = list(self.layers)
-            self.store.save(Q.qc_findings(table, names), FINDINGS, "quality warnings and errors")
-            self._record("quality", written, written, "no errors", Q.qc_verdict(self.store.load(FINDINGS)))
+            severity = F.col("severity")
+            counts = {"warnings": F.count_if(severity == "warning"), "errors": F.count_if(severity == "error")}
+            seen = self.store.save_measured(Q.qc_findings(table, names), FINDINGS, "quality warnings and errors", counts)
+            verdict = {"warnings": seen["warnings"], "errors": seen["errors"], "passed": seen["errors"] == 0}
+            self._record("quality", written, written, "no errors", verdict)
         return self.store.load(SCORED)
 
     def validate(
@@ -127,8 +129,12 @@ class EvidenceRun:
         """Control sets and weight sweep, staged as one verdict row. ``weights=None`` skips the sweep."""
         if force or not self.store.exists(VALIDATION):
             scored = self._need(SCORED)
-            plus = K.control_summary(K.rank_controls(scored, positives, self.symbol), positives, on=self.symbol)
-            minus = K.control_summary(K.rank_controls(scored, negatives, self.symbol), negatives, positive=False, on=self.symbol)
+            sides = {"plus": positives, "minus": negatives}
+            both = [c.select(self.symbol, "source", F.lit(side).alias("side")) for side, c in sides.items()]
+            ranked = K.rank_controls(scored, both[0].unionByName(both[1]), self.symbol, keep=("source", "side"))  # scores are ranked once
+            of = lambda side: ranked.where(F.col("side") == side).drop("side")
+            plus = K.control_summary(of("plus"), positives, on=self.symbol)
+            minus = K.control_summary(of("minus"), negatives, positive=False, on=self.symbol)
             summary = None
             if weights is not None:
                 swept = S.sensitivity_sweep(self.joined(), weights, deltas, top_n, self.entity, self.symbol)
@@ -150,7 +156,7 @@ class EvidenceRun:
         tiered = P.evidence_summary(P.assign_tiers(scored, tiers), list(self.layers))
         written = self.store.save(tiered, CANDIDATES, "tiered candidates")
         stats = P.write_dual(self.store.load(CANDIDATES), folder, base, self.entity)
-        self._record("report", scored.count(), written, "reaches a tier", stats)
+        self._record("report", self.store.rows_of(SCORED), written, "reaches a tier", stats)
         return self.store.load(CANDIDATES)
 
     def summary(self, weights: Mapping[str, float] = J.DEFAULT_WEIGHTS) -> DataFrame:

@@ -129,6 +129,25 @@ def id_rescue(spark, sf):
     return C.rescue_ids(rows, universe, "C").select("o_orderkey", "gene_id")
 
 
+@query(
+    "constraint_layer",
+    f"""WITH {PARTS_SQL}, named AS (SELECT *, CASE WHEN gene_id % 3 = 0 THEN 'P' || gene_id ELSE 'old-' || gene_id END AS own,
+          CASE WHEN gene_id % 5 > 0 THEN 'sym' || gene_id // 2 END AS symbol FROM scored),
+        known AS (SELECT 'P' || p_partkey AS id, 'sym' || p_partkey // 2 AS symbol FROM part WHERE p_partkey % 7 > 0)
+        SELECT CASE WHEN own LIKE 'P%' THEN own ELSE id END AS gene_id, symbol AS gene_symbol, quality_flag,
+          round(loeuf_normalized, 6) AS loeuf_normalized FROM named LEFT JOIN known USING (symbol)""",
+)
+def constraint_layer(spark, sf):
+    """The whole layer with id rescue: ids of an old form are replaced through symbols that two, one or no ids share."""
+    key = F.col("gene_id")
+    raw = constraint_source(spark, sf).withColumn("gene", F.when(key % 5 > 0, F.concat(F.lit("sym"), F.floor(key / 2).cast("string"))))
+    raw = raw.withColumn("gene_id", F.concat(F.when(key % 3 == 0, "P").otherwise("old-"), key.cast("string")))
+    part = F.col("p_partkey")
+    universe = table(spark, sf, "part").where(part % 7 > 0)
+    universe = universe.select(F.concat(F.lit("P"), part.cast("string")).alias("gene_id"), F.concat(F.lit("sym"), F.floor(part / 2).cast("string")).alias("gene_symbol"))
+    return C.constraint_layer(raw, universe, 30.0, 0.5, "P").select("gene_id", "gene_symbol", "quality_flag", r6("loeuf_normalized"))
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # annotation: customers, with order counts
 
@@ -676,6 +695,19 @@ def fuzzy_headers(spark, sf):
     return O.marker_phenotypes(raw, "term")
 
 
+@query("structure_phenotypes", "SELECT DISTINCT p_brand AS zebrafish_gene, CAST(NULL AS VARCHAR) AS zp_term_id, p_type AS zp_term_name FROM part")
+def structure_phenotypes(spark, sf):
+    """The affected-structure report: the last gene column and the first phenotype-like one, found by words of their names."""
+    raw = table(spark, sf, "part").select(
+        F.col("p_size").alias("Rank"),
+        F.col("p_name").alias("Gene Name"),
+        F.col("p_brand").alias("ZFIN Gene Symbol"),
+        F.col("p_type").alias("Affected Structure or Process 1 superterm"),
+        F.col("p_retailprice").alias("Phenotype Tag"),
+    )
+    return O.structure_phenotypes(raw)
+
+
 @query("keyword_filter", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), 'ring|old|gizmo')")
 def keyword_filter(spark, sf):
     return O.keyword_filter(table(spark, sf, "part").select("p_partkey", "p_name"), KEYWORDS, "p_name")

@@ -319,12 +319,31 @@ def composite_percentiles(spark, sf):
     "qc_findings",
     f"""WITH {LONG_SQL}, m AS (SELECT layer, avg(CASE WHEN score IS NULL THEN 1e0 ELSE 0e0 END) AS v, stddev_pop(score) AS std,
           count(score) AS n, min(score) AS lo, max(score) AS hi FROM long GROUP BY layer)
-        SELECT 'missing_data' AS check_name, layer, CASE WHEN v > 0.8 THEN 'error' ELSE 'warning' END AS severity FROM m WHERE v > 0.5
-        UNION ALL SELECT 'distribution', layer, 'warning' FROM m WHERE n = 0 OR std < 0.01
-        UNION ALL SELECT 'distribution', layer, 'error' FROM m WHERE lo < 0 OR hi > 1""",
+        SELECT 'missing_data' AS check_name, layer, CASE WHEN v > 0.8 THEN 'error' ELSE 'warning' END AS severity,
+          printf('%s: %.1f%% missing', layer, v * 100) AS message FROM m WHERE v > 0.5
+        UNION ALL SELECT 'distribution', layer, 'warning', layer || ': no data available' FROM m WHERE n = 0
+        UNION ALL SELECT 'distribution', layer, 'warning', printf('%s: no variation (std=%.4f)', layer, std) FROM m WHERE std < 0.01
+        UNION ALL SELECT 'distribution', layer, 'error', printf('%s: out of range (min=%.4f, max=%.4f)', layer, lo, hi) FROM m WHERE lo < 0 OR hi > 1""",
 )
 def qc_findings(spark, sf):
-    return Q.qc_findings(scored_documents(spark, sf), LAYERS).select("check_name", "layer", "severity")
+    return Q.qc_findings(scored_documents(spark, sf), LAYERS)
+
+
+_SIDES = {"west": ["FRANCE", "GERMANY", "BRAZIL"], "east": ["CHINA", "JAPAN", "FRANCE"], "nowhere": ["ATLANTIS"]}
+
+
+@query(
+    "control_rows",
+    f"""WITH listed AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{side}')" for side, names in _SIDES.items() for n in names)}) AS t(gene_symbol, source))
+        SELECT gene_symbol, source, 'MEDIUM' AS confidence, count(c_custkey) AS customers
+        FROM listed LEFT JOIN nation ON n_name = gene_symbol LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY gene_symbol, source""",
+)
+def control_rows(spark, sf):
+    """A control set built from named lists, with a member of two lists and one that no table knows, met with its customers."""
+    listed = K.control_set(spark, _SIDES, "MEDIUM")
+    nations = table(spark, sf, "nation").select(F.col("n_name").alias("gene_symbol"), "n_nationkey")
+    per = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    return listed.join(nations.join(per, "n_nationkey"), "gene_symbol", "left").select(*listed.columns, F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
 @query(

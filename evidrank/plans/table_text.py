@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from evidrank.operators import literature as T
 from evidrank.operators import protein as P
 from evidrank.plans.registry import average_rank_sql, percentile_sql, query, r6, table
 from evidrank.sources import records as R
-from evidrank.sources.stages import cut, resume_remaining
+from evidrank.sources.stages import StageStore, cut, resume_remaining, scratch_folder
 
 # ---------------------------------------------------------------------------------------------------------------------
 # literature: documents, grouped by source and language, or found by the words they hold
@@ -442,3 +444,23 @@ mapped AS (SELECT CAST(c_custkey AS VARCHAR) AS gene_id,
 @query("id_mapping", f"WITH {MAPPING_SQL} SELECT * FROM mapped")
 def id_mapping(spark, sf):
     return R.id_mapping(_customer_hits(spark, sf), "hit")
+
+
+@query("resumed_build", f"WITH {COUNTS_SQL} SELECT * FROM counts")
+def resumed_build(spark, sf):
+    """Counts per entity built in committed batches by a worker that is lost in the third; a second run builds only the rest."""
+    docs = cut(text_documents(spark, sf).withColumn("entity", F.concat_ws("/", "source", "lang")))
+    root, lost = f"{scratch_folder(spark)}/evidrank-stages/{uuid.uuid4().hex}", []
+
+    def work(keys: DataFrame) -> DataFrame:
+        lost.append(len(lost))
+        if len(lost) == 3:
+            raise ConnectionError("worker lost")
+        return T.context_counts(docs.join(keys, "entity", "left_semi"), "entity", CONTEXTS, DIRECT, SCREEN)
+
+    keys = docs.select("entity").distinct()
+    try:
+        StageStore(spark, root).build_in_batches(keys, "entity", work, "entity_counts", batches=6)
+    except ConnectionError:
+        pass
+    return StageStore(spark, root).build_in_batches(keys, "entity", work, "entity_counts", batches=6)

@@ -86,3 +86,12 @@ def test_lists_and_versions(spark):
     assert first(spark, X.union_distinct("a", "b"), both, (["x", "x"], ["y", "x"])) == ["x", "y"]
     assert first(spark, X.union_distinct("a", "b"), both, (["x", "x"], [])) == ["x", "x"]
     assert first(spark, X.union_distinct("a", "b"), both, (["x"], None)) == ["x"]
+
+
+def test_membership_sketch_never_misses(spark):
+    words = spark.createDataFrame([(f"w{k}",) for k in range(0, 4000, 2)] + [(None,)], "w string")
+    known = X.membership_sketch(words, "w")
+    asked = spark.createDataFrame([(f"w{k}",) for k in range(4000)], "w string")
+    kept = {r["w"] for r in asked.where(X.may_hold(known, F.col("w"))).collect()}
+    assert {f"w{k}" for k in range(0, 4000, 2)} <= kept and len(kept) < 2100
+    assert asked.where(X.may_hold(X.membership_sketch(words.limit(0), "w"), F.col("w"))).count() == 0

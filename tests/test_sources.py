@@ -5,6 +5,7 @@ import gzip
 import pytest
 from helpers import one, rows
 from pyspark.sql import types as T
+from pyspark.sql.functions import max as F_max
 
 from evidrank.functions.joins import attach, widen
 from evidrank.operators.constraint import constraint_columns
@@ -210,6 +211,56 @@ def test_run_ledger(spark, tmp_path):
     assert steps[0]["details"] == {"kept": "8", "why": None} and steps[0]["output_count"] == 8
 
 
+def test_a_build_commits_batches_and_repeats_none(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    keys = spark.createDataFrame([(k if k % 9 else None,) for k in range(200)], "k int")
+    wanted, calls, broken = sorted([2 * k if k % 9 else -1 for k in range(200)]), [], [2]
+
+    def work(part):
+        calls.append(1)
+        bad = F.when(F.lit(len(calls) - 1 in broken), F.raise_error(F.lit("lost"))).otherwise(F.lit(0))
+        return part.select(F.coalesce(F.col("k") * 2 + bad, F.lit(-1)).alias("v"))
+
+    store = StageStore(spark, str(tmp_path / "store"))
+    store.save(spark.createDataFrame([(7,)], "v int"), "t", "the former table")
+    with pytest.raises(Exception, match="lost"):
+        store.build_in_batches(keys, "k", work, "t", batches=5)
+    again = StageStore(spark, str(tmp_path / "store"))  # as another driver would
+    assert again.progress("t") == (2, 5) and rows(again.load("t")) == [(7,)]
+    built = again.build_in_batches(keys.repartition(3), "k", work, "t", batches=99)
+    assert len(calls) == 6 and sorted(r[0] for r in built.collect()) == wanted
+    assert again.progress("t") == (0, 0) and again.rows_of("t") == 200
+    store.refresh()
+    assert sorted(r[0] for r in store.load("t").collect()) == wanted
+    again.build_in_batches(keys, "k", work, "t", batches=2)
+    assert len(calls) == 8 and again.rows_of("t") == 200
+
+
+def test_two_commits_of_one_batch_count_once(spark, tmp_path):
+    keys = spark.createDataFrame([(k,) for k in range(20)], "k int")
+    first, second = (StageStore(spark, str(tmp_path / "store")) for _ in range(2))
+    assert not first.exists("t") and not second.exists("t")
+    second.stages.rows()
+    first.build_in_batches(keys, "k", lambda p: p, "t", batches=2)
+    build = first.stages.rows()[0]["build"]
+    second._record("t", row_count=9, rows_written=9, path=f"{first.root}/t/none", build=build, batch=1, batches=2)
+    late = StageStore(spark, str(tmp_path / "store"))
+    assert late.progress("t") == (0, 0) and late.rows_of("t") == 20 and sorted(r[0] for r in late.load("t").collect()) == list(range(20))
+
+
+def test_ledgers_cost_no_job(spark, tmp_path):
+    store = StageStore(spark, str(tmp_path / "store"))
+    df = spark.createDataFrame([(1,), (2,)], "v int")
+    spark.sparkContext.setJobGroup("ledger", "ledger")
+    seen = store.save_measured(df, "t", metrics={"most": F_max("v")})
+    store.record_step("r", "step", 2, 2)
+    assert store.exists("t") and store.rows_of("t") == 2 and seen == {"_rows": 2, "most": 2}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ledger"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1
+
+
 def test_cut_keeps_rows_and_schema(spark):
     df = spark.createDataFrame([(1, [1.0])], "a int, b array<double>")
     back = cut(df)
