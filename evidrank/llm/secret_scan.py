@@ -6,7 +6,9 @@ dictionary of common identifiers and the text around the token. The marginal byt
 less the size of its context alone) over the token's length say how much of it neither the surroundings nor the
 dictionary explain; random strings stay near their entropy, words and repeated identifiers nearly vanish.
 
-NULL texts are empty and hold no spans. All of a text is scanned. Repeated rows give repeated results.
+NULL texts are empty and hold no spans. All of a text is scanned, however long. Repeated rows give repeated results.
+Tokens without a letter (card numbers, addresses of machines), further away than the line after a sensitive word, or shorter than twelve characters, are not measured. Other
+columns are kept whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +43,16 @@ _CONTEXT = re.compile(
     r"s?(?-i:(?![a-z]))",
     re.I | re.A,
 )
-#: A whole run of key-like characters, without a name and an equals sign before it.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_~.-])(?:[A-Za-z_.-]+=(?=[A-Za-z0-9+/_~.-]))?+([A-Za-z0-9+/_~.-][A-Za-z0-9+/_=~.-]{11,})")
+#: A whole run of key-like characters or of a password's symbols, without a name and an equals sign before it.
+_TOKEN = re.compile(
+    r"(?<![A-Za-z0-9+/_~.!@#$%^&*-])(?:[A-Za-z_.-]+=(?=[A-Za-z0-9+/_~.!@#$%^&*-]))?+([A-Za-z0-9+/_~.!@#$%^&*-][A-Za-z0-9+/_=~.!@#$%^&*-]{11,})"
+)
+_EDGES = re.compile(r"(?:([!@#$%^&*])\1+)?+(?P<inner>.*?)(?:([!@#$%^&*])\3+)?")
+_LETTER = re.compile(r"[A-Za-z]")
+#: Blank lines and the line after them.
+_NEXT = re.compile(r"(?:\n[ \t\r]*)*[^\n]*")
+#: Mail addresses look like tokens with a symbol; they are personal data, not secrets.
+_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Identifiers and phrases that are common in code and configuration; plain words are not secrets.
 IDENTIFIERS = (
     "password username user_name api_key apikey access_key secret_key client_id client_secret session_id private_key "
@@ -59,12 +69,13 @@ IDENTIFIERS = (
 @dataclass(frozen=True)
 class Novelty:
     around: int = 256
-    least_bytes: float = 9.0
+    least_bytes: float = 8.0
     least_ratio: float = 0.7
     #: For letters of both cases without a digit, and for tokens of one kind: names and words lie closer to random strings.
     least_case_ratio: float = 0.96
+    least_case_bytes: float = 9.0
     least_plain_ratio: float = 1.07
-    least_plain_bytes: float = 14.0
+    least_plain_bytes: float = 15.0
     dictionary: bytes = IDENTIFIERS
 
 
@@ -86,16 +97,28 @@ def _least(token: str, p: Novelty) -> float:
     lower, upper, digit = (any(map(kind, token)) for kind in (str.islower, str.isupper, str.isdigit))
     if digit and (lower or upper):
         return max(p.least_bytes, p.least_ratio * len(token) * 0.75)
-    return max(p.least_plain_bytes, (p.least_case_ratio if lower and upper else p.least_plain_ratio) * len(token) * 0.75)
+    if lower and upper and any(map(str.isupper, token[1:])) and any(map(str.islower, token[1:])):
+        return max(p.least_case_bytes, p.least_case_ratio * len(token) * 0.75)
+    return max(p.least_plain_bytes, p.least_plain_ratio * len(token) * 0.75)
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Every token of a line that follows a sensitive word in it."""
-    at = 0
-    while word := _CONTEXT.search(text, at):
-        end = text.find("\n", word.end())
-        at = len(text) if end < 0 else end
-        yield from (m.span(1) for m in _TOKEN.finditer(text, word.end(), at))
+    """Every token that follows a sensitive word in its line or stands in the next line that is not blank, once."""
+    line = reach = done = 0  # ends of the word's line and of the line after it; tokens up to done are out
+    for word in _CONTEXT.finditer(text):
+        if word.end() > line or not reach:
+            line = text.find("\n", word.end())
+            line = len(text) if line < 0 else line
+            reach = _NEXT.match(text, line).end()
+        start = max(word.end(), done)
+        if start < reach:
+            for m in _TOKEN.finditer(text, start, reach):
+                a, b = m.span(1)
+                edge = _EDGES.fullmatch(text, a, b)  # doubled symbols around a word are decoration
+                a, b = edge.span("inner")
+                if _LETTER.search(text, a, b) and not _MAIL.fullmatch(text[a:b].rstrip("=.-")):
+                    yield a, b
+            done = reach
 
 
 def spans_of(text: str, p: Novelty = Novelty()) -> list[tuple[str, int, int]]:
@@ -106,10 +129,10 @@ def spans_of(text: str, p: Novelty = Novelty()) -> list[tuple[str, int, int]]:
     taken = sorted((a, b) for _, a, b in found)
     starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for a, b in candidates(text):
-        token = text[a:b].rstrip(".=-")
-        b = a + len(token)
+        token = text[a:b].rstrip(".=-!")
+        b = a + len(text[a:b].rstrip(".-!"))  # padding belongs to the secret
         before = bisect_left(starts, b)
-        if b - a < 12 or before and ends[before - 1] > a:
+        if len(token) < 12 or before and ends[before - 1] > a:
             continue
         if marginal_bytes(token, text[max(0, a - p.around) : a], text[b : b + p.around], p) >= _least(token, p):
             found.append(("novel", a, b))
