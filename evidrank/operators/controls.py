@@ -24,7 +24,7 @@ def control_set(spark: SparkSession, members: Mapping[str, Iterable[str]], confi
 
 
 def rank_controls(
-    scored: DataFrame, controls: DataFrame, on: str = "gene_symbol", keep: Sequence[str] = ("source",)
+    scored: DataFrame, controls: DataFrame, on: str = "gene_symbol", keep: Sequence[str] = ("source",), stored: bool = False
 ) -> DataFrame:
     """Scored controls with their PERCENT_RANK among all known composites, one row per (entity, source).
 
@@ -32,9 +32,11 @@ def rank_controls(
 
     The controls are joined first and only they receive a rank, so the full table is shuffled once, collapsed to its
     distinct scores. Size decides at run time whether the control side is broadcast. The result, no larger than the
-    control set, is written once because each summary reads it several times.
+    control set, is written once because each summary reads it several times. Scores that are ``stored`` in a table are
+    not written again.
     """
-    known = settle(scored.where(F.col("composite_score").isNotNull()).select(on, "composite_score"))
+    known = scored.where(F.col("composite_score").isNotNull()).select(on, "composite_score")
+    known = known if stored else settle(known)
     bounds = measure_bounds(known, {"v": "composite_score"})["v"]
     matched = known.join(controls.select(on, *keep), on)
     return cut(attach_table(matched, percent_rank_table(known, "composite_score", bounds), "composite_score", bounds))
@@ -113,6 +115,7 @@ def recall_at_k(
     fractions: Sequence[float] = RECALL_FRACTIONS,
     on: str = "gene_symbol",
     score: str = "composite_score",
+    stored: bool = False,
 ) -> DataFrame:
     """``threshold, k, hits, total_known, recall`` for absolute and percentage cut-offs of one global ordering.
 
@@ -120,7 +123,8 @@ def recall_at_k(
     them (``probe_positions``); the scored rows are neither sorted nor numbered. Every cut-off is then a conditional
     count over those positions.
     """
-    known = settle(scored.where(F.col(score).isNotNull() & ~F.isnan(score)).select(on, score))
+    known = scored.where(F.col(score).isNotNull() & ~F.isnan(score)).select(on, score)
+    known = known if stored else settle(known)
     total = known.agg(F.count(F.lit(1))).scalar()
     unique = controls.select(on).where(F.col(on).isNotNull()).distinct()
     cut_offs = [(str(k), F.lit(k).cast("long")) for k in ks]
@@ -148,12 +152,13 @@ def extended_controls(
     scored: DataFrame, controls: DataFrame, ks: Sequence[int] = RECALL_KS, on: str = "gene_symbol", threshold: float | None = None
 ) -> DataFrame:
     """Summary, recall at every cut-off and placement per source of a positive control set: ``section, name, value``."""
-    ranked = rank_controls(scored, controls, on)
+    scored = settle(scored.select(on, "composite_score"))
+    ranked = rank_controls(scored, controls, on, stored=True)
     summary = control_summary(ranked, controls, threshold=threshold, on=on)
     numbers = ["total_expected", "total_in_dataset", "median_percentile", "top_quartile_count", "top_quartile_fraction", "high_score_count"]
     cast = [F.col(c).cast("double").alias(c) for c in numbers]
     rows = summary.select(*cast).unpivot([], numbers, "name", "value").select(F.lit("summary").alias("section"), "name", "value")
-    recall = recall_at_k(scored, controls, ks, on=on).select(F.lit("recall").alias("section"), F.col("threshold").alias("name"), F.col("recall").alias("value"))
+    recall = recall_at_k(scored, controls, ks, on=on, stored=True).select(F.lit("recall").alias("section"), F.col("threshold").alias("name"), F.col("recall").alias("value"))
     sources = control_by_source(ranked, controls)
     placed = sources.select(F.lit("source").alias("section"), F.col("source").alias("name"), F.col("median_percentile").alias("value"))
     return rows.unionByName(recall).unionByName(placed)

@@ -131,7 +131,7 @@ class EvidenceRun:
             scored = self._need(SCORED)
             sides = {"plus": positives, "minus": negatives}
             both = [c.select(self.symbol, "source", F.lit(side).alias("side")) for side, c in sides.items()]
-            ranked = K.rank_controls(scored, both[0].unionByName(both[1]), self.symbol, keep=("source", "side"))  # scores are ranked once
+            ranked = K.rank_controls(scored, both[0].unionByName(both[1]), self.symbol, keep=("source", "side"), stored=True)  # scores are ranked once
             of = lambda side: ranked.where(F.col("side") == side).drop("side")
             plus = K.control_summary(of("plus"), positives, on=self.symbol)
             minus = K.control_summary(of("minus"), negatives, positive=False, on=self.symbol)

@@ -640,7 +640,7 @@ def validation_verdict(spark, sf):
     joined = cut(joined_documents(spark, sf))  # read by the scores and by the sweep
     scored, positives, negatives = control_tables(spark, sf, joined)
     both = positives.withColumn("side", F.lit("plus")).unionByName(negatives.withColumn("side", F.lit("minus")))
-    ranked = K.rank_controls(scored, both, "gene_id", keep=("source", "side"))
+    ranked = K.rank_controls(scored, both, "gene_id", keep=("source", "side"), stored=True)
     of = lambda side: ranked.where(F.col("side") == side).drop("side")
     plus = K.control_summary(of("plus"), positives, on="gene_id")
     minus = K.control_summary(of("minus"), negatives, positive=False, on="gene_id")

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 _STAGE_LEDGER = (
     "table_name string, at bigint, created_at timestamp, row_count bigint, rows_written bigint, "
-    "description string, path string, replaces boolean, deleted boolean, build string, batch bigint, batches bigint"
+    "description string, path string, replaces boolean, deleted boolean, build string, batch bigint, batches bigint, fields string"
 )
 _RUN_LEDGER = (
     "run_id string, at bigint, recorded_at timestamp, step_name string, input_count bigint, output_count bigint, "
@@ -145,7 +145,7 @@ class StageStore:
 
     def _record(self, name: str, **fields) -> None:
         plain = {"row_count": 0, "rows_written": 0, "description": "", "path": None, "replaces": True, "deleted": False}
-        self.stages.append({"table_name": name, **self._now(), **plain, "build": None, "batch": None, "batches": None, **fields})
+        self.stages.append({"table_name": name, **self._now(), **plain, "build": None, "batch": None, "batches": None, "fields": None, **fields})
 
     def _history(self, name: str) -> tuple[list[dict], dict[int, dict], tuple[str, int] | None]:
         """What makes up a table: its current rows (the last full write and what was appended since), and the committed
@@ -200,7 +200,7 @@ class StageStore:
         path, seen = self._write(df, name, metrics)
         before = 0 if replace else self.rows_of(name) or 0
         written = int(seen["_rows"])
-        self._record(name, row_count=before + written, rows_written=written, description=description, path=path, replaces=replace)
+        self._record(name, row_count=before + written, rows_written=written, description=description, path=path, replaces=replace, fields=df.schema.json())
         return seen
 
     def save(self, df: DataFrame, name: str, description: str = "", replace: bool = True) -> int:
@@ -222,10 +222,11 @@ class StageStore:
         of = F.pmod(F.xxhash64(F.col(on)), F.lit(number))
         for batch in range(number):
             if batch not in done:
-                path, seen = self._write(work(keys.where(of == batch)), name)
+                made = work(keys.where(of == batch))
+                path, seen = self._write(made, name)
                 n = int(seen["_rows"])
                 before = sum(r["rows_written"] for r in done.values())
-                self._record(name, row_count=before + n, rows_written=n, description=description, path=path, build=build, batch=batch, batches=number)
+                self._record(name, row_count=before + n, rows_written=n, description=description, path=path, build=build, batch=batch, batches=number, fields=made.schema.json())
                 done[batch] = {"rows_written": n}
         return self.load(name)
 
@@ -236,7 +237,12 @@ class StageStore:
 
     def load(self, name: str) -> DataFrame | None:
         current, *_ = self._history(name)
-        return self.spark.read.parquet(*[r["path"] for r in current]) if current else None
+        if not current:
+            return None
+        reader, fields = self.spark.read, {r.get("fields") for r in current}
+        if len(fields) == 1 and None not in fields:  # else the files are asked, in a job
+            reader = reader.schema(StructType.fromJson(json.loads(fields.pop())))
+        return reader.parquet(*[r["path"] for r in current])
 
     def exists(self, name: str) -> bool:
         return bool(self._history(name)[0])
