@@ -95,18 +95,43 @@ def keyword_filter(df: DataFrame, keywords: Sequence[str], term: str) -> DataFra
     return df.where(contains_any(term, keywords))
 
 
-def term_rollup(df: DataFrame, entity: str, term: str, prefix: str, separator: str = "; ") -> DataFrame:
-    """Number of phenotype rows per entity and their terms as one sorted string.
+def term_counts(df: DataFrame, entity: str, term: str, prefix: str) -> DataFrame:
+    """Number of phenotype rows per entity and its terms as a run-length coded list of (term, n), sorted by term.
 
-    Rows first collapse to (entity, term, count) map-side, so what gathers per entity is bounded by the vocabulary,
-    not by the rows; a term on several rows is repeated in the string.
+    Rows collapse to (entity, term, count) map-side, and a term stands once in the list however many rows hold it: what
+    gathers per entity, in rows and in bytes, is bounded by the vocabulary. ``term_pieces`` writes the list out.
     """
     per_term = df.where(F.col(term).isNotNull()).groupBy(entity, term).agg(F.count(F.lit(1)).alias("_n"))
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(term).alias("t"), F.col("_n").alias("n"))))
-    listed = F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["t"], p["n"].cast("int"))))
-    return per_term.groupBy(entity).agg(
-        F.sum("_n").alias(f"{prefix}_phenotype_count"), F.array_join(listed, separator).alias(f"{prefix}_terms")
-    )
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(term).alias("term"), F.col("_n").alias("n"))))
+    return per_term.groupBy(entity).agg(F.sum("_n").alias(f"{prefix}_phenotype_count"), pairs.alias(f"{prefix}_term_counts"))
+
+
+def term_pieces(coded: DataFrame, entity: str, prefix: str, separator: str = "; ", repeats: int = 10_000) -> DataFrame:
+    """A coded list written out for a sink: ``entity, piece, terms``, each piece at most ``repeats`` times one term.
+
+    Pieces in order, joined by the separator, are the whole string; no task ever holds more than one piece of it.
+    """
+    rows = coded.select(entity, F.posexplode(f"{prefix}_term_counts").alias("_at", "_t"))
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_t.n") - 1) / repeats))
+    rows = rows.select(entity, "_at", "_t", F.explode(parts).alias("_part"))
+    times = F.least(F.lit(repeats).cast("long"), F.col("_t.n") - F.col("_part") * repeats).cast("int")
+    piece = F.concat(F.expr(f"repeat(concat(_t.term, {_text(separator)}), cast(least({repeats}L, _t.n - _part * {repeats}) as int) - 1)"), F.col("_t.term"))
+    return rows.select(entity, F.struct(F.col("_at").alias("term"), F.col("_part").alias("part")).alias("piece"), times.alias("n"), piece.alias("terms"))
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def term_rollup(df: DataFrame, entity: str, term: str, prefix: str, separator: str = "; ") -> DataFrame:
+    """Number of phenotype rows per entity and their terms as one sorted string, a term on several rows repeated.
+
+    The coded list is gathered (``term_counts``); only its row is written out, so the string is as long as its terms
+    and rows make it. For entities with very many rows take ``term_counts`` and ``term_pieces``.
+    """
+    coded = term_counts(df, entity, term, prefix)
+    listed = F.flatten(F.transform(f"{prefix}_term_counts", lambda p: F.array_repeat(p["term"], p["n"].cast("int"))))
+    return coded.select(entity, f"{prefix}_phenotype_count", F.array_join(listed, separator).alias(f"{prefix}_terms"))
 
 
 def animal_score(df: DataFrame) -> DataFrame:

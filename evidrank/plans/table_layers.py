@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidrank.functions.rows import all_known
@@ -623,16 +623,24 @@ def supplied_parts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def supplier_support(parts: DataFrame, fish: bool, prefix: str) -> DataFrame:
-    rows = parts.where(F.col("fish") == F.lit(fish))
-    counts = rows.groupBy(F.col("l_partkey").alias("gene_id"), "l_suppkey").agg(F.sum("n").alias("support_count"))
+def supplier_support(rows: DataFrame, prefix: str, count: Column) -> DataFrame:
+    """Best supplier per part, of rows (l_partkey, l_suppkey) whose support is the given aggregate."""
+    counts = rows.groupBy(F.col("l_partkey").alias("gene_id"), "l_suppkey").agg(count.alias("support_count"))
     return O.best_support(counts, "gene_id", "l_suppkey", "support_count", prefix, high=3, medium=2)
 
 
+def scanned_support(spark: SparkSession, sf: str, fish: bool, prefix: str) -> DataFrame:
+    """The same from the line items themselves: counted once, the species is a filter of the scan."""
+    flag = F.col("l_returnflag") == "A"
+    rows = table(spark, sf, "lineitem").where(flag if fish else ~flag).select("l_partkey", "l_suppkey")
+    return supplier_support(rows, prefix, F.count(F.lit(1)))
+
+
 def animal_parts(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "part").select(F.col("p_partkey").alias("gene_id"))
     parts = cut(supplied_parts(spark, sf))
-    orthologs = O.ortholog_mapping(ids, supplier_support(parts, False, "mouse"), supplier_support(parts, True, "zebrafish"))
+    of = lambda fish, prefix: supplier_support(parts.where(F.col("fish") == fish), prefix, F.sum("n"))
+    orthologs = O.ortholog_mapping(ids, of(False, "mouse"), of(True, "zebrafish"))
     names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     named = cut(parts.join(names, "l_partkey").select("l_suppkey", "p_name", "kind").distinct())
 
@@ -651,7 +659,7 @@ def animal_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("best_support", f"WITH {SUPPORT_SQL} SELECT * FROM mouse")
 def best_support(spark, sf):
-    return supplier_support(supplied_parts(spark, sf), False, "mouse")
+    return scanned_support(spark, sf, False, "mouse")
 
 
 @query(
@@ -661,8 +669,7 @@ def best_support(spark, sf):
 )
 def ortholog_mapping(spark, sf):
     ids = table(spark, sf, "part").select(F.col("p_partkey").alias("gene_id"))
-    parts = cut(supplied_parts(spark, sf))
-    return O.ortholog_mapping(ids, supplier_support(parts, False, "mouse"), supplier_support(parts, True, "zebrafish"))
+    return O.ortholog_mapping(ids, scanned_support(spark, sf, False, "mouse"), scanned_support(spark, sf, True, "zebrafish"))
 
 
 @query(
@@ -723,6 +730,22 @@ def term_rollup(spark, sf):
     return O.term_rollup(O.keyword_filter(rows, KEYWORDS, "p_name"), "p_brand", "p_name", "part")
 
 
+@query(
+    "term_pieces",
+    """WITH c AS (SELECT l_suppkey, p_name, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+        p AS (SELECT l_suppkey, p_name, n, unnest(range(0, (n - 1) // 2 + 1)) AS part,
+                dense_rank() OVER (PARTITION BY l_suppkey ORDER BY p_name) - 1 AS term FROM c)
+        SELECT l_suppkey, CAST(term AS INTEGER) AS term, part, least(2, n - 2 * part) AS n,
+          p_name || CASE WHEN n - 2 * part > 1 THEN '; ' || p_name ELSE '' END AS terms FROM p""",
+)
+def term_pieces(spark, sf):
+    """Part names of every line item per supplier as coded lists, written out in pieces of two."""
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").join(names, "l_partkey")
+    pieces = O.term_pieces(O.term_counts(rows, "l_suppkey", "p_name", "part"), "l_suppkey", "part", repeats=2)
+    return pieces.select("l_suppkey", "piece.term", "piece.part", F.col("n").cast("long").alias("n"), "terms")
+
+
 @query(
     "model_score",
     f"""WITH {ANIMAL_SQL} SELECT gene_id, mouse_ortholog, zebrafish_ortholog, sensory_phenotype_count, phenotype_categories,

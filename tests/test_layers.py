@@ -393,3 +393,16 @@ def test_protein_layer(spark):
     assert by_key(out, "gene_id", "has_cilia_domain") == {"E1": True, "E2": None, "E3": None, "E4": None, "E5": True}
     assert by_key(out, "gene_id", "coiled_coil")["E3"] is None
     assert [r["gene_id"] for r in P.motif_candidates(out).collect()] == ["E1", "E5"]
+
+
+def test_coded_terms_hold_a_term_once(spark):
+    from evidrank.operators import orthology as O
+
+    df = spark.range(200_000).select(F.lit("e").alias("entity"), F.when(F.col("id") % 3 == 0, "it's; a b").otherwise("c").alias("term"))
+    df = df.unionByName(spark.createDataFrame([("e", None), ("f", "c")], "entity string, term string"))
+    coded = O.term_counts(df, "entity", "term", "x")
+    got = {r["entity"]: (r["x_phenotype_count"], [tuple(t) for t in r["x_term_counts"]]) for r in coded.collect()}
+    assert got == {"e": (200_000, [("c", 133_333), ("it's; a b", 66_667)]), "f": (1, [("c", 1)])}
+    pieces = O.term_pieces(coded.where("entity = 'e'"), "entity", "x", "; ", 50_000).orderBy("piece").collect()
+    assert [len(r["terms"]) for r in pieces] == [149_998, 149_998, 99_997, 549_998, 183_335]
+    assert "; ".join(r["terms"] for r in pieces) == "; ".join(["c"] * 133_333 + ["it's; a b"] * 66_667)
