@@ -249,11 +249,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return settled(met.where(true).select("a", "b"))
 
 
+def _hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels (node, root) after one step: every root joins the smallest root it is linked to.
+
+    Not yet components, but enough to leave out most pairs that are in one; those are found once, at the end.
+    """
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    met = found.join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root")
+    up = met.groupBy(F.greatest("a_root", "b_root").alias("root")).agg(F.min(F.least("a_root", "b_root")).alias("up"))
+    return labels.join(settled(up), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+
+
 def near_copies(docs: DataFrame, linked: DataFrame | None = None, least: float = SIMILARITY, rounds: int = LEADERS) -> DataFrame:
     """doc_id, text_key and component_key of every row: texts joined by ``linked`` (pairs a, b of text keys, such as
     SimHash finds) or by a verified Jaccard similarity of ``least`` or more, over any number of links, share a component.
 
-    In each round the texts of a band meet one leader, and only those that are in another component: first the text
+    In each round the texts of a band meet one leader, and only those not known to be in its component: first the text
     with the most neighbours in all its bands, then another one, drawn by a hash, each round. A sketch of the
     signatures is compared inside the join, so few unlike pairs leave it; the shingle sets decide. The work of a round is
     linear in the texts, however large a group is. Texts of a band of up to ``rounds`` + 1 all meet. In a larger band two
@@ -272,11 +283,12 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None, least: float =
     degrees = members.groupBy("text_key").agg(F.sum("crowd").alias("degree"))
     about = settled(texts.select("text_key", "n", "low", "high").join(degrees, "text_key"))
     sets = _sets(plain, about.select("text_key"))
-    links = None if linked is None else settled(linked.select("a", "b"))
-    labels = about.select(F.col("text_key").alias("node"), F.col("text_key").alias("root")).limit(0) if links is None else settled(components(links))
+    links = plain.select(F.col("text_key").alias("a"), F.col("text_key").alias("b")).limit(0) if linked is None else linked.select("a", "b")
+    links = settled(links)
+    labels = settled(_hooked(about.select(F.col("text_key").alias("node"), F.col("text_key").alias("root")), links))
     for turn in range(rounds):
-        known = about.join(labels, F.col("text_key") == F.col("node"), "left")
-        known = known.select("text_key", "n", "low", "high", "degree", F.coalesce("root", "text_key").alias("label"))
+        known = about.join(labels, F.col("text_key") == F.col("node"))
+        known = known.select("text_key", "n", "low", "high", "degree", F.col("root").alias("label"))
         here = members.select("band", "text_key").join(known, "text_key")
         rank = F.col("degree") if turn == 0 else F.xxhash64("text_key", "band", F.lit(turn))
         lead = F.max(F.struct(rank.alias("rank"), "text_key", "n", "low", "high", "label")).alias("lead")
@@ -289,9 +301,10 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None, least: float =
         on = (here["band"] == apart["band"]) & (F.col("label") != F.col("lead_label")) & sizes & (differ <= sketch_limit(least))
         pairs = here.join(apart, on).select(F.least("text_key", "lead_text_key").alias("a"), F.greatest("text_key", "lead_text_key").alias("b"))
         found = _verified(settled(pairs.distinct()), sets, least)
-        links = found if links is None else settled(links.unionByName(found))
-        labels = settled(components(links))
-    every = narrow.join(labels, F.col("text_key") == F.col("node"), "left")
+        links = links.unionByName(found)
+        if turn + 1 < rounds:
+            labels = settled(_hooked(labels, found))
+    every = narrow.join(settled(components(links)), F.col("text_key") == F.col("node"), "left")
     return every.select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component_key"))
 
 
