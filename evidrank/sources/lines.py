@@ -14,6 +14,8 @@ A place is a number that grows along the file: the byte offset of the line, in b
 member times 65,536 plus the offset in it. Head lines are told by their places alone; rows that repeat them are rows.
 
 The sink writes block gzip, one file per task, into a folder of the job that becomes visible when the job commits.
+
+Files are opened through ``pyarrow.fs``, which knows file, hdfs, s3, gs and abfs.
 """
 
 from __future__ import annotations
@@ -42,8 +44,14 @@ _END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _LINES = pa.schema([("path", pa.string()), ("place", pa.int64()), ("line", pa.string())])
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; Hadoop's names for S3 are understood."""
+    scheme, colon, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else path)
+
+
 def _open(path: str):
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = _store(path)
     return store.open_input_file(name)
 
 
@@ -240,7 +248,7 @@ class LineReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         parts = []
         for path, after in self.files:
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = _store(path)
             size = store.get_file_info(name).size or 0
             step = size if self.heads else self.bytes
             parts += [Range(path, at, min(size, at + step), after, self.heads) for at in range(0, size, max(1, step))]
@@ -264,7 +272,7 @@ class BlockGzipWriter(DataSourceArrowWriter):
         self.job, self.overwrite = uuid.uuid4().hex, overwrite
 
     def _folder(self) -> tuple[fs.FileSystem, str, str]:
-        store, root = fs.FileSystem.from_uri(self.path)
+        store, root = _store(self.path)
         return store, root, f"{root}/_{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:

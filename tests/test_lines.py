@@ -96,6 +96,15 @@ def test_preamble_rows_like_heads_stay(spark, tmp_path):
     assert rows(delimited.read_preamble(spark, [str(tmp_path / "a.gct"), str(tmp_path / "b.gct")])) == want
 
 
+def test_paths_with_spaces_and_signs(spark, tmp_path):
+    folder = tmp_path / "a b%20c+d"
+    folder.mkdir()
+    (folder / "x y.tsv.gz").write_bytes(gzip.compress(b"id\tx\n1\t2\n"))
+    assert rows(delimited.read_delimited(spark, str(folder))) == [("1", "2")]
+    lines.write_block_gzip(spark.createDataFrame([("3\t4",)], "v string"), str(folder / "out"), head=["id\tx"])
+    assert rows(delimited.read_delimited(spark, str(folder / "out"))) == [("3", "4")]
+
+
 def test_files_with_other_columns_are_united_by_name(spark, tmp_path):
     (tmp_path / "a.tsv.gz").write_bytes(gzip.compress(b"id\tx\n1\t2\n"))
     (tmp_path / "b.tsv.gz").write_bytes(gzip.compress(b"y\tid\n3\t4\n"))
