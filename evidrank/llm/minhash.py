@@ -51,7 +51,7 @@ class _Words(dict):
     """Hash of a word; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
