@@ -41,6 +41,25 @@ def attach(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFr
     return salted.join(target, [*keys, _SALT], "left").drop(_SALT)
 
 
+def join_growth(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """What a left join of a many-to-many key would make, from key counts alone: one row.
+
+    ``left_rows, joined_rows, matched_keys, hottest_key, hottest_rows``. Both sides collapse to one row per key map-side, and
+    those meet; the join itself is not run. Of equally hot keys the greatest is named. NULL keys match nothing but stay.
+    """
+    ours = left.groupBy(on).agg(F.count(F.lit(1)).alias("_left"))
+    theirs = right.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_right"))
+    met = attach(ours, theirs, on).withColumn("_rows", F.col("_left") * F.greatest(F.coalesce("_right", F.lit(0)), F.lit(1)))
+    hottest = F.max(F.when(F.col("_right").isNotNull(), F.struct("_rows", on)))
+    return met.agg(
+        F.coalesce(F.sum("_left"), F.lit(0)).alias("left_rows"),
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("joined_rows"),
+        F.count("_right").alias("matched_keys"),
+        hottest[on].alias("hottest_key"),
+        hottest["_rows"].alias("hottest_rows"),
+    )
+
+
 def keep_listed(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Membership filter against an id table (a semi join, so the list never passes through the driver)."""
     return df.join(ids.select(on), on, "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidrank.functions.joins import join_growth
 from evidrank.functions.rows import all_known
 from evidrank.operators import annotation as A
 from evidrank.operators import constraint as C
@@ -129,6 +130,22 @@ def id_rescue(spark, sf):
     return C.rescue_ids(rows, universe, "C").select("o_orderkey", "gene_id")
 
 
+@query(
+    "bridge_growth",
+    """WITH l AS (SELECT CASE WHEN c_nationkey > 2 THEN c_nationkey END AS k, count(*) AS n FROM customer GROUP BY ALL),
+        r AS (SELECT s_nationkey AS k, count(*) AS m FROM supplier WHERE s_nationkey < 20 GROUP BY ALL),
+        j AS (SELECT l.k, n, m, n * greatest(coalesce(m, 0), 1) AS made FROM l LEFT JOIN r ON l.k = r.k)
+        SELECT CAST(sum(n) AS BIGINT) AS left_rows, CAST(sum(made) AS BIGINT) AS joined_rows, count(m) AS matched_keys,
+          (SELECT k FROM j WHERE m IS NOT NULL ORDER BY made DESC, k DESC LIMIT 1) AS hottest_key,
+          (SELECT max(made) FROM j WHERE m IS NOT NULL) AS hottest_rows FROM j""",
+)
+def bridge_growth(spark, sf):
+    """Rows that the many-to-many bridge from customers to the suppliers of their nation would make, before it is joined."""
+    left = table(spark, sf, "customer").select(F.when(F.col("c_nationkey") > 2, F.col("c_nationkey")).alias("nation"))
+    right = table(spark, sf, "supplier").where(F.col("s_nationkey") < 20).select(F.col("s_nationkey").alias("nation"))
+    return join_growth(left, right, "nation")
+
+
 @query(
     "constraint_layer",
     f"""WITH {PARTS_SQL}, named AS (SELECT *, CASE WHEN gene_id % 3 = 0 THEN 'P' || gene_id ELSE 'old-' || gene_id END AS own,
