@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 from llm_data import docs, plain, prose, rows, with_clashes
@@ -131,3 +132,23 @@ def test_nine_in_ten_random_secrets_are_found(before, alphabet, n):
 def test_prose_after_sensitive_words_stays():
     wrong = sum(len(novel(f"the password {prose(k, 40)}\n{prose(-k, 40)}")) for k in range(300))
     assert wrong == 0
+
+
+def test_long_runs_of_symbols_take_linear_time(spark):
+    texts = [f"password a{'*' * 40000}b token=abcdefgh", f"token\n{'!' * 40000}x{'#' * 40000}=", f"secret key --{'@' * 40000}. AKIA{'Z' * 16}"]
+    began = time.monotonic()
+    for t in texts:
+        assert [s for s in secret_scan.spans_of(t) if s[0] != "novel"] == brute_base(t)
+    assert time.monotonic() - began < 5
+    for r in secret_scan.scan(docs(spark, [(k, t, "en", "a", 0) for k, t in enumerate(texts)])).collect():
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    "word, inner", [("!!ab!!", "ab"), ("!ab!", "!ab!"), ("!!!!", ""), ("!!ab!@@", "ab!"), ("##!ab=", "!ab="), ("**@@", ""), ("--ab--", "--ab--"), ("!!a", "a")]
+)
+def test_doubled_symbols_at_the_ends_are_left_out(word, inner):
+    text = f"!{word}!"
+    a, b = secret_scan.undecorated(text, 1, 1 + len(word))
+    assert text[a:b] == inner and 1 <= a <= b <= 1 + len(word)
