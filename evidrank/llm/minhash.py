@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrank.functions import ranks
@@ -260,6 +260,41 @@ def _hooked(labels: DataFrame, found: DataFrame) -> DataFrame:
     return labels.join(settled(up), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
 
 
+def _unmet(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Every pair (a, b) of texts of two components that share a band with another component and may be as similar as ``least``.
+
+    A gram that only one component holds joins nothing. With such grams first and rare ones next, two sets of
+    that similarity share a gram within their first ``size - least * size + 1``, and the places of the first shared one
+    bound the overlap: both conditions leave out no true pair. A text with too few shared grams is out at once, which
+    is how clouds of edited copies end. The component with most texts of a gram is not joined with itself.
+    """
+    known = members.join(labels, F.col("text_key") == F.col("node")).select("band", "text_key", F.col("root").alias("label"))
+    two = (F.min("label") < F.max("label")).alias("two")
+    apart = known.groupBy("band").agg(two).where("two")
+    left = settled(known.join(apart, "band", "left_semi").select("text_key", "label").distinct())
+    held = left.join(sets, "text_key").select("text_key", "label", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    shared = settled(held.groupBy("gram").agg(F.count(F.lit(1)).alias("holders"), two).where("two").select("gram", "holders"))
+    own = Window.partitionBy("text_key")
+    placed = held.join(shared, "gram").withColumn("useful", F.count(F.lit(1)).over(own))
+    placed = placed.withColumn("place", F.col("size") - F.col("useful") + F.row_number().over(own.orderBy("holders", "gram")))
+    places = placed.where(F.col("place") <= F.col("size") - _at_least(least * F.col("size")) + 1)
+    places = settled(places.select("gram", "text_key", "label", "size", "place"))
+    most = places.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.max(F.struct("n", "label")).alias("most"), two).where("two")
+    most = settled(most.select("gram", F.col("most.label").alias("main")))
+    one = places.join(most, "gram").where("label <> main").select("gram", "main", *[F.col(c).alias(f"one_{c}") for c in ("text_key", "label", "size", "place")])
+    once = (F.col("label") == F.col("main")) | (F.col("one_text_key") < F.col("text_key"))
+    overlap = 1 + F.least(F.col("size") - F.col("place"), F.col("one_size") - F.col("one_place"))
+    enough = overlap >= _at_least(least / (1 + least) * (F.col("size") + F.col("one_size")))
+    on = (places["gram"] == one["gram"]) & (F.col("label") != F.col("one_label")) & once & enough
+    pairs = places.join(one, on).select(F.least("text_key", "one_text_key").alias("a"), F.greatest("text_key", "one_text_key").alias("b"))
+    return settled(pairs.distinct())
+
+
+def _at_least(number: Column) -> Column:
+    """The smallest whole number that is not below, but for what floating point adds."""
+    return F.ceil(number - 1e-9)
+
+
 def near_copies(docs: DataFrame, linked: DataFrame | None = None, least: float = SIMILARITY, rounds: int = LEADERS) -> DataFrame:
     """doc_id, text_key and component_key of every row: texts joined by ``linked`` (pairs a, b of text keys, such as
     SimHash finds) or by a verified Jaccard similarity of ``least`` or more, over any number of links, share a component.
@@ -267,9 +302,9 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None, least: float =
     In each round the texts of a band meet one leader, and only those not known to be in its component: first the text
     with the most neighbours in all its bands, then another one, drawn by a hash, each round. A sketch of the
     signatures is compared inside the join, so few unlike pairs leave it; the shingle sets decide. The work of a round is
-    linear in the texts, however large a group is. Texts of a band of up to ``rounds`` + 1 all meet. In a larger band two
-    texts of different components that no leader of their 25 bands is similar to are not compared with each other;
-    ``linked`` must supply such links if they matter. Of two equally good leaders the greater key leads.
+    linear in the texts, however large a group is. What the rounds leave apart in a band then meets through its rarest
+    shingles (``_unmet``), which loses no pair: no link between texts that share a band depends on who led it. Of two equally
+    good leaders the greater key leads.
 
     NULL texts count as empty; a text longer than a task's memory is not supported.
     """
@@ -302,8 +337,9 @@ def near_copies(docs: DataFrame, linked: DataFrame | None = None, least: float =
         pairs = here.join(apart, on).select(F.least("text_key", "lead_text_key").alias("a"), F.greatest("text_key", "lead_text_key").alias("b"))
         found = _verified(settled(pairs.distinct()), sets, least)
         links = links.unionByName(found)
-        if turn + 1 < rounds:
-            labels = settled(_hooked(labels, found))
+        labels = settled(_hooked(labels, found))
+    else:
+        links = links.unionByName(_verified(_unmet(members, labels, sets, least), sets, least))
     every = narrow.join(settled(components(links)), F.col("text_key") == F.col("node"), "left")
     return every.select("doc_id", "text_key", F.coalesce("root", "text_key").alias("component_key"))
 

@@ -114,6 +114,19 @@ def test_near_copies_against_every_pair(spark):
     assert minhash.near_copies(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("m, n, changed, rounds", [(240, 200, 3, minhash.LEADERS), (120, 200, 3, 1), (120, 200, 3, 0)])
+def test_large_bands_lose_no_link(spark, m, n, changed, rounds):
+    """A cloud in which few pairs reach the similarity, so that most leaders of a band meet none of its links."""
+    pick = random.Random(1)
+    base = pick.choices([f"w{k}" for k in range(400)], k=n)
+    made = [(k, edited(f"1/{k}", base, changed, f"c{k}x"), "en", "a", 0) for k in range(m)]
+    want = sorted(sorted(set(ids)) for ids in brute_classes({i: t for i, t, *_ in made}).values())
+    classes = {}
+    for i, _, c in map(tuple, minhash.near_copies(docs(spark, made), rounds=rounds).collect()):
+        classes.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, classes.values())) == want
+
+
 def test_given_links_join_components(spark):
     made = [(k, prose(f"l{k}", 30), "en", "a", 0) for k in range(6)]
     keys = {r.doc_id: r.text_key for r in minhash.near_copies(docs(spark, made)).collect()}
