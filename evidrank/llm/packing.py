@@ -31,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidrank.llm.common import whole_text
+from evidrank.llm.common import slices, whole_text
 
 #: Chunks in each of the two generations a worker remembers, about 200 bytes each.
-_MEMORY = 500_000
+_MEMORY = 250_000
 _LOCAL_BITS = 40
 
 
@@ -63,11 +63,11 @@ class _Encoder(dict):
 
     The normaliser and the splitting pattern act inside a chunk only, so a chunk's ids do not depend on its context and
     are remembered. A full memory becomes the older generation; what is met again moves to the younger one. Words of
-    Latin letters, which normalise to themselves in lower case and are one piece each, go straight to the merges; other
-    chunks run the whole tokenizer.
+    Latin letters, which normalise to themselves in lower case and are one piece each, go straight to the merges, unless
+    they are remembered in lower case without the marks behind them; other chunks run the whole tokenizer.
     """
 
-    _plain = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]*)")
+    _latin = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
     #: str.split() splits at these, the tokenizer does not.
     _odd = re.compile("[\x1c-\x1f]")
 
@@ -87,7 +87,6 @@ class _Encoder(dict):
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        word = word.lower()
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return array("I", [t.id for t in self.merges(word)]).tobytes()
@@ -95,9 +94,12 @@ class _Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         made = self.older.get(chunk)
         if made is None:
-            if plain := self._plain.fullmatch(chunk):
-                word, marks = plain.groups()
-                made = self._word(word) + (self[marks] if marks else b"")
+            word = chunk.rstrip(".,;:!?")
+            if word.isascii() and word.isalpha() or self._latin.fullmatch(word):
+                low = word.lower()
+                made = self.get(low) or self.older.get(low) or self._word(low)
+                if word != chunk:
+                    made += self[chunk[len(word) :]]
             else:
                 made = self._ids(chunk)
         if len(self) >= _MEMORY:
@@ -231,7 +233,7 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
         sequence = TaskContext.get().partitionId() << _LOCAL_BITS
         end = np.array([p.separator], "<u4").tobytes()
         stream, pieces = _Stream(), []
-        for rows in batches:
+        for rows in slices(batches):
             for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 stream.add(doc_id, words.encode(text) + end)
                 if stream.size >= p.block:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidrank.llm.common import batch, settled, whole_text
+from evidrank.llm.common import batch, settled, slices, whole_text
 
 BITS, SEED = 64, 42
 #: Rows of bits that are counted at a time.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in slices(batches):
             prints = [fingerprint(t, width) for t in rows.column(2).to_pylist()]
             signed = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), signed], schema=schema)

@@ -1,3 +1,4 @@
+import sys
 import zlib
 from collections import defaultdict
 
@@ -98,3 +99,24 @@ def test_digest_of_the_query(spark):
 
     for r in packing.pack(docs(spark), PARAMS).select("ids", F.crc32("ids").alias("c")).collect():
         assert r.c == zlib.crc32(bytes(r.ids))
+
+
+def test_a_worker_remembers_a_bounded_amount(monkeypatch):
+    words = packing._Encoder(PATH)
+    monkeypatch.setattr(words, "_word", lambda word: b"12345678")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for a in letters:
+        for b in letters[:16]:
+            words.encode(" ".join(f"{a}{b}{c}{d}e{e}" for c in letters for d in letters for e in letters[:4]))
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for m in (words, words.older) for k, v in m.items())
+    assert held + sys.getsizeof(words) + sys.getsizeof(words.older) < 80e6
+
+
+@pytest.mark.parametrize("text", ["", "... ", "aneser Aneser, ANESER! aneser... ,aneser", "Ⱥ ⱥ Ⱥ, ŉ ʼN ǅ. ǆ ǅ ẞ ß, ö Ö Ö! ö"])
+def test_words_remembered_in_another_form(text):
+    want = np.array(ids_of(text)[:-1], "<u4").tobytes()
+    assert packing._Encoder(PATH).encode(text) == want
+    words = packing._Encoder(PATH)
+    chunks = [c for _ in range(2) for c in text.split()[::-1]]
+    assert words.encode(" ".join(chunks)) == np.array(ids_of(" ".join(chunks))[:-1], "<u4").tobytes()
+    assert words.encode(text) == want
