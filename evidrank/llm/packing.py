@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from evidrank.llm.common import slices, whole_text
 
-#: Chunks in each of the two generations a worker remembers, about 200 bytes each.
-_MEMORY = 250_000
 _LOCAL_BITS = 40
 
 
@@ -49,6 +47,8 @@ class Packing:
     block: int = 64 * 2048
     #: A stretch without a boundary gets cuts inside it from this length on, this far apart.
     stretch: int = 256
+    #: Chunks in each of the two generations a worker remembers, about 200 bytes each; it changes no id and no cut.
+    memory: int = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,8 +71,9 @@ class _Encoder(dict):
     #: str.split() splits at these, the tokenizer does not.
     _odd = re.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = Packing.memory):
         super().__init__()
+        self.memory = memory
         from tokenizers import Tokenizer
 
         self.older: dict[str, bytes] = {}
@@ -102,7 +103,7 @@ class _Encoder(dict):
                     made += self[chunk[len(word) :]]
             else:
                 made = self._ids(chunk)
-        if len(self) >= _MEMORY:
+        if len(self) >= self.memory:
             self.older = dict(self)
             self.clear()
         self[chunk] = made
@@ -115,8 +116,8 @@ class _Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def encoder(path: str, memory: int = Packing.memory) -> _Encoder:
+    return _Encoder(path, memory)
 
 
 def _positions(ids: np.ndarray, ends: np.ndarray, is_end: np.ndarray, p: Packing, last: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +230,7 @@ def pack(docs: DataFrame, p: Packing) -> DataFrame:
     doc_tokens, sequence_id, offset in the sequence, and the length the sequence is padded to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(p.tokenizer)
+        words = encoder(p.tokenizer, p.memory)
         sequence = TaskContext.get().partitionId() << _LOCAL_BITS
         end = np.array([p.separator], "<u4").tobytes()
         stream, pieces = _Stream(), []
