@@ -62,3 +62,30 @@ def test_repeated_ids_clashing_columns_and_empty_tables(spark):
     assert plain(pivots.top_k(clash, F.col("vec_id") % 20 == 0, SMALL)) == brute(made, lambda i: i % 20 == 0)
     assert pivots.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert pivots.top_k(df, F.col("vec_id") == -1).count() == 0
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Few different components, so that most products are tied, also between annuli."""
+    rng = np.random.default_rng(11)
+    made = [(int(k), (rng.integers(-2, 3, 6) / 64).tolist(), 0) for k in rng.permutation(400)]
+    got = pivots.top_k(spark.createDataFrame(made, SCHEMA), F.col("vec_id") % 20 == 0, SMALL)
+    assert plain(got) == brute(made, lambda i: i % 20 == 0)
+
+
+def test_annuli_are_read_once_for_a_group_and_low_products_stay_in_the_task(spark):
+    rng = np.random.default_rng(12)
+    x, q = rng.integers(-30, 30, (5, 40, 4)), rng.integers(-30, 30, (3, 4))
+    key = lambda rows: [row.astype("<i8").tobytes() for row in rows]
+    blocks = [(b, key(x[b]), [[100 * b + i, 1000 + 100 * b + i] for i in range(40)]) for b in range(5)]
+    scores = np.sort((q @ x.reshape(-1, 4).T), axis=1)[:, ::-1]
+    known = [(0, int(scores[0, 3])), (2, int(scores[2, 0]) + 1)]
+    chunks = spark.createDataFrame([(7, key(q), known)], "chunk long, keys array<binary>, known array<struct<at:int,score:long>>")
+    blocks = spark.createDataFrame(blocks, "block long, keys array<binary>, ids array<array<long>>")
+    found = pivots._meet(chunks.select("chunk").crossJoin(blocks.select("block")), chunks, blocks, 4, pivots.Search(k=6))
+    rows = found.collect()
+    for at, least, most in ((0, scores[0, 3], 7), (1, -(2**63), 7), (2, scores[2, 0] + 1, 7)):
+        best = sorted((-int(q[at] @ x[b, i]), 100 * b + i) for b in range(5) for i in range(40))[:most]
+        want = [(-s, i + more) for s, i in best if -s >= least for more in (0, 1000)]
+        assert sorted((r.score, r.vec_id) for r in rows if r["at"] == at) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapCoGroupsInArrow", "")
