@@ -152,3 +152,30 @@ def test_doubled_symbols_at_the_ends_are_left_out(word, inner):
     text = f"!{word}!"
     a, b = secret_scan.undecorated(text, 1, 1 + len(word))
     assert text[a:b] == inner and 1 <= a <= b <= 1 + len(word)
+
+
+@pytest.mark.parametrize("text", [*TEXTS, "passecret=abcdefgh", "tokenapi_key: 'abcdefgh", "İ İsecret=abcdefgh toKen=abcdefgh", "İPASSWD:abcdefgh", "apiapi_key=abcdefgh", "pass pwd access Private_Key signingKey\nSession ID"])
+def test_stems_lead_to_every_match(text):
+    starts = secret_scan.places(text)
+    for pattern in (secret_scan._ASSIGN, secret_scan._CONTEXT):
+        assert [m.span() for m in secret_scan._matches(pattern, text, starts)] == [m.span() for m in pattern.finditer(text)]
+    assert [s for s in secret_scan.spans_of(text) if s[0] != "novel"] == brute_base(text)
+
+
+def test_patterns_are_not_run_over_texts_without_stems_or_hex(monkeypatch):
+    class Refused:
+        def __getattr__(self, name):
+            raise AssertionError("a pattern was used")
+
+    for name in ("_ASSIGN", "_CONTEXT", "_HEX"):
+        monkeypatch.setattr(secret_scan, name, Refused())
+    assert secret_scan.spans_of("é 0123456789abcdef 0123456789ABCDEF " * 50) == []
+
+
+def test_texts_do_not_come_back_from_the_scan(spark):
+    table = docs(spark, [(k, t, "en", "a", 0) for k, t in enumerate(TEXTS)] + rows())
+    kept = secret_scan.scan(table, kept=["doc_id"])
+    assert kept.columns == ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"]
+    assert plain(kept) == plain(secret_scan.scan(table).select(kept.columns))
+    arrow = next(x for x in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in x)
+    assert "run(c0" in arrow and "c1" not in arrow
