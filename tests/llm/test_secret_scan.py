@@ -179,3 +179,12 @@ def test_texts_do_not_come_back_from_the_scan(spark):
     assert plain(kept) == plain(secret_scan.scan(table).select(kept.columns))
     arrow = next(x for x in kept._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in x)
     assert "run(c0" in arrow and "c1" not in arrow
+
+
+def test_masking_sends_each_text_once(spark):
+    table = with_clashes(docs(spark, [(1, "token=abcdefgh", "en", "a", 0), (2, None, "en", "a", 0), (3, "", "en", "a", 0)]))
+    masked = secret_scan.mask(table)
+    assert {r.doc_id: r.text for r in masked.collect()} == {1: "token=[SECRET]", 2: None, 3: ""}
+    assert masked.columns == table.columns and masked.dtypes == table.dtypes
+    plan = masked._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(text#" in plan and not re.search(r"\btext#\d+ AS c\d", plan)  # the text beside its whole form
